@@ -8,16 +8,21 @@ from pyspark.sql import Column, functions as F
 
 # Whitespace as a Unicode-aware engine sees it; spelled out because Java's \s is ASCII only.
 SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
-_URL_OR_NON_WORD = rf"(?:https?://[^{SPACE}]+|[^\p{{L}}\p{{N}}_@])+"
+_URL_OR_NON_WORD = rf"https?://[^{SPACE}]+|[^\p{{L}}\p{{N}}_@]+"
 
 
 def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def words(text: Column) -> Column:
+    """Words of the lowered text; links and everything but letters, digits, _ and @ separate them."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _URL_OR_NON_WORD, " ")
+    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+
+
 def normalise(text: Column) -> Column:
-    """Lower case, links and punctuation to single spaces; letters, digits, _ and @ stay."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _URL_OR_NON_WORD, " "))
+    return F.array_join(words(text), " ")
 
 
 def normalise_strict(text: Column) -> Column:
@@ -26,17 +31,18 @@ def normalise_strict(text: Column) -> Column:
     return collapse_spaces(kept)
 
 
-def tokens(normalised: Column) -> Column:
+def _is_token(w: Column) -> Column:
+    return (F.length(w) > 2) & ~F.startswith(w, F.lit("@"))
+
+
+def tokens(word_list: Column) -> Column:
     """Distinct words longer than two characters that are not mentions."""
-    return F.array_distinct(
-        F.filter(F.split(normalised, " ", -1), lambda w: (F.length(w) > 2) & ~F.startswith(w, F.lit("@")))
-    )
+    return F.array_distinct(F.filter(word_list, _is_token))
 
 
-def token_ids(normalised: Column) -> Column:
+def token_ids(word_list: Column) -> Column:
     """`tokens` as 64-bit ids: half the shuffle bytes, and set operations on longs."""
-    words = F.filter(F.split(normalised, " ", -1), lambda w: (F.length(w) > 2) & ~F.startswith(w, F.lit("@")))
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.filter(word_list, _is_token), lambda w: F.xxhash64(w)))
 
 
 def contains_any(lowered: Column, markers: list[str]) -> Column:
@@ -62,12 +68,13 @@ def strip_space(text: Column) -> Column:
 
 
 def net_location(url: Column) -> Column:
-    """Host with port (and user part if given), lower case; '' if there is none."""
-    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("")))
+    """What stands between '//' and the path: host, port and user part; '' if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
 
 
 def host_name(url: Column) -> Column:
-    return F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    """Host without user part and port."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
 def mention_count(text: Column) -> Column:

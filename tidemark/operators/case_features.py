@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import lexicons as L, text as X
-from tidemark.functions.scores import clamp, ratio, risk_level, weighted
+from tidemark.functions.scores import (
+    clamp_sql, fixed, fixed3_sql, level_sql, ratio_sql, risk_level, round_exact, weighted_sql,
+)
 from tidemark.operators.reports import resolved_links
 from tidemark.operators.skew import salted_join, totals_before
 
@@ -40,12 +42,13 @@ def root_posts(posts: DataFrame) -> DataFrame:
     first = F.min(at)
     flagged = F.min(F.when(F.col("is_case_root"), at))
     ends = posts.groupBy("case_id").agg(
-        F.count("*").alias("event_count"), first.alias("first"), flagged.alias("flagged"),
+        F.count("*").alias("event_count"), F.count_if(~F.col("is_case_root")).alias("reactions"),
+        first.alias("first"), flagged.alias("flagged"),
         F.max(F.unix_micros("published_at")).alias("last_us"),
     )
     root = F.coalesce("flagged", "first")
     return ends.select(
-        "case_id", "event_count", F.col("first.us").alias("first_us"), "last_us",
+        "case_id", "event_count", "reactions", F.col("first.us").alias("first_us"), "last_us",
         F.col("first.post_id").alias("first_post_id"), root["post_id"].alias("root_post_id"),
         root["us"].alias("root_us"), root["account_id"].alias("root_account_id"),
         F.col("flagged").isNotNull().alias("root_is_flagged"),
@@ -64,7 +67,7 @@ def _root_texts(posts: DataFrame, roots: DataFrame) -> DataFrame:
     texts = flagged.select("case_id", "content").unionByName(unflagged.select("case_id", "content"))
     lowered = texts.withColumn("lowered", F.lower(F.coalesce("content", F.lit(""))))
     return lowered.select(
-        "case_id", X.token_ids(X.normalise(F.col("content"))).alias("root_tokens"),
+        "case_id", X.token_ids(X.words(F.col("content"))).alias("root_tokens"),
         *[X.contains_any(F.col("lowered"), MARKERS[m]).cast("double").alias(f"root_{m}_flag")
           for m in ("question", "uncertainty", "claim", "denial")],
     )
@@ -97,8 +100,10 @@ def time_profile(posts: DataFrame, roots: DataFrame, windows: dict[str, int]) ->
         .agg(*[F.sum(c).alias(c) for c in ["reaction", *names]])
     )
     running = totals_before(steps, ["case_id"], [["minute"], ["at"]], ["reaction", *names])
-    reactions = steps.groupBy("case_id").agg(F.sum("reaction").alias("reactions"))
-    placed = running.join(reactions, "case_id")
+    placed = salted_join(
+        running, roots.select("case_id", "reactions"), ["case_id"], "at",
+        counts=roots.select("case_id", F.col("event_count").alias("__n")),
+    )
     reached = F.col("reaction__before") + F.col("reaction")
     holds = lambda k: F.max(F.when((F.col("reaction__before") < k) & (reached >= k), F.col("at")))
     low, high = F.floor((F.col("reactions") + 1) / 2), F.floor(F.col("reactions") / 2) + 1
@@ -106,23 +111,29 @@ def time_profile(posts: DataFrame, roots: DataFrame, windows: dict[str, int]) ->
         *[F.max(F.col(f"{n}__before") + F.col(n)).alias(n) for n in names],
         holds(low).alias("low_at"), holds(high).alias("high_at"),
     )
-    delay = lambda c: F.greatest((F.col(c) - F.col("root_us")) / 1e6, F.lit(0.0))
+    delay = lambda c: F.greatest(F.col(c) - F.col("root_us"), F.lit(0))
     return peaks.join(roots.select("case_id", "root_us"), "case_id").select(
         "case_id", *names,
-        F.coalesce((delay("low_at") + delay("high_at")) / 2, F.lit(0.0)).alias("median_reaction_delay_seconds"),
+        F.coalesce((delay("low_at") + delay("high_at")) / 2 / 1e6, F.lit(0.0)).alias("median_reaction_delay_seconds"),
     )
 
 
 # -- long rows ------------------------------------------------------------------------------------
 
 
-def _emit(kind: str, key: Column, when: Column | None = None, value: Column | None = None) -> Column:
-    """One long row, or null where the condition does not hold."""
-    row = F.struct(
-        F.lit(kind).alias("kind"), key.cast("bigint").alias("key"),
-        (F.lit(None) if value is None else value).cast("double").alias("value"),
-    )
-    return row if when is None else F.when(when, row)
+def _emit(kind: str, key: str = "0", when: str | None = None, value: str = "null") -> str:
+    """One long row as SQL text, or null where the condition does not hold."""
+    row = f"struct('{kind}' AS kind, cast({key} AS bigint) AS key, cast({value} AS double) AS value)"
+    return row if when is None else f"CASE WHEN {when} THEN {row} END"
+
+
+def _long_rows(posts: DataFrame, rows: list[str], reaction: str, tokens: str | None = None) -> DataFrame:
+    """Explode the rows of a post; `tokens` names an array of further keys."""
+    items = f"array_compact(array({', '.join(rows)}))"
+    if tokens:
+        items = f"concat({items}, transform({tokens}, t -> {_emit('token', 't')}))"
+    return posts.selectExpr("case_id", f"{reaction} AS reaction", f"explode({items}) AS r").select(
+        "case_id", "reaction", "r.kind", "r.key", "r.value")
 
 
 def _summed(long: DataFrame) -> DataFrame:
@@ -153,20 +164,20 @@ def _child_rows(posts: DataFrame, tags: DataFrame, links: DataFrame, keep_blank_
     )
 
 
-def _is(kind: str) -> Column:
-    return F.col("kind") == kind
+def _total(kind: str, what: str = "n") -> str:
+    return f"coalesce(sum(CASE WHEN kind = '{kind}' THEN {what} END), 0)"
 
 
-def _total(kind: str, what: str = "n") -> Column:
-    return F.coalesce(F.sum(F.when(_is(kind), F.col(what))), F.lit(0))
+def _most(kind: str, what: str = "n") -> str:
+    return f"coalesce(max(CASE WHEN kind = '{kind}' THEN {what} END), 0)"
 
 
-def _most(kind: str, what: str = "n") -> Column:
-    return F.coalesce(F.max(F.when(_is(kind), F.col(what))), F.lit(0))
+def _distinct(kind: str) -> str:
+    return f"count_if(kind = '{kind}')"
 
 
-def _distinct(kind: str) -> Column:
-    return F.count_if(_is(kind))
+def _per_case(keyed: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return keyed.groupBy("case_id").agg(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
 # -- version 4 ------------------------------------------------------------------------------------
@@ -183,87 +194,84 @@ def case_features(posts: DataFrame, tags: DataFrame, links: DataFrame, account_s
         F.unix_micros("published_at").alias("us"), F.lower(F.coalesce("content", F.lit(""))).alias("lowered"),
     )
     flags = [m for m in MARKERS]
-    prepared = lowered.withColumn("normal", X.normalise(F.col("lowered"))).select(
+    prepared = lowered.withColumn("words", X.words(F.col("lowered"))).select(
         "case_id", "post_id", "account_id", "reply_to_post_id", "is_root", "us",
-        F.when(F.col("normal") != "", F.xxhash64("normal")).alias("text_id"),
-        X.token_ids(F.col("normal")).alias("tokens"),
+        F.when(F.size("words") > 0, F.xxhash64("words")).alias("text_id"),
+        X.token_ids(F.col("words")).alias("tokens"),
         *[X.contains_any(F.col("lowered"), MARKERS[m]).alias(m) for m in flags],
         X.starts_with_any(X.strip_space(F.col("lowered")), L.RETWEET_PREFIXES).alias("retweet"),
     )
     counts = roots.select("case_id", F.col("event_count").alias("__n"))
     met = salted_join(prepared, facts.drop("event_count"), ["case_id"], "post_id", counts=counts)
 
-    both = F.size(F.array_intersect("tokens", "root_tokens"))
-    own, root = F.size("tokens"), F.size("root_tokens")
-    known = (own > 0) & (root > 0)
-    measured = met.withColumn("shared", F.when(known, both).otherwise(0)).withColumn(
-        "jaccard", F.when(known, F.col("shared") / (own + root - F.col("shared"))).otherwise(0.0)
-    ).withColumn("overlap", F.when(known, F.col("shared") / F.least(own, root)).otherwise(0.0))
-
-    reaction = ~F.col("is_root")
-    has_root = root > 0
-    since = F.col("us") - F.col("first_us")
-    parent, account = F.col("reply_to_post_id"), F.col("account_id")
-    one = F.lit(0)
+    measured = met.selectExpr(
+        "*", "CASE WHEN size(tokens) > 0 AND size(root_tokens) > 0 THEN size(array_intersect(tokens, root_tokens)) ELSE 0 END AS shared"
+    ).selectExpr(
+        "*",
+        "CASE WHEN shared > 0 THEN shared / (size(tokens) + size(root_tokens) - shared) ELSE 0D END AS jaccard",
+        "CASE WHEN shared > 0 THEN shared / least(size(tokens), size(root_tokens)) ELSE 0D END AS overlap",
+    )
+    compared = "NOT is_root AND size(root_tokens) > 0"
     rows = [
-        _emit("account", account),
-        _emit("early_account", account, (account != 0) & (F.col("us") <= F.col("root_us") + 30 * MINUTE)),
-        _emit("parent", parent, parent.isNotNull()),
-        _emit("to_root", one, parent == F.col("root_post_id")),
-        _emit("deep", one, parent != F.col("root_post_id")),
-        _emit("text", F.col("text_id"), F.col("text_id").isNotNull()),
-        _emit("first_10m", one, since <= 10 * MINUTE),
-        _emit("first_30m", one, since <= 30 * MINUTE),
-        _emit("first_60m", one, since <= 60 * MINUTE),
-        _emit("by_root_author", one, reaction & (account != 0) & (account == F.col("root_account_id"))),
-        _emit("retweet", one, F.col("retweet")),
-        _emit("jaccard", one, reaction & has_root, F.col("jaccard")),
-        _emit("overlap", one, reaction & has_root, F.col("overlap")),
-        _emit("copy", one, reaction & has_root & (F.col("overlap") >= COPY_OVERLAP)),
-        _emit("lexical", one, has_root & (F.col("post_id") != F.col("first_post_id")) & (F.col("jaccard") >= LEXICAL_JACCARD)),
-        *[_emit(m, one, F.col(m)) for m in flags],
+        _emit("account", "account_id"),
+        _emit("early_account", "account_id", f"account_id <> 0 AND us <= root_us + {30 * MINUTE}"),
+        _emit("parent", "reply_to_post_id", "reply_to_post_id IS NOT NULL"),
+        _emit("to_root", when="reply_to_post_id = root_post_id"),
+        _emit("deep", when="reply_to_post_id <> root_post_id"),
+        _emit("text", "text_id", "text_id IS NOT NULL"),
+        *[_emit(f"first_{m}m", when=f"us - first_us <= {m * MINUTE}") for m in (10, 30, 60)],
+        _emit("by_root_author", when="NOT is_root AND account_id <> 0 AND account_id = root_account_id"),
+        _emit("retweet", when="retweet"),
+        _emit("jaccard", when=compared, value="jaccard"),
+        _emit("overlap", when=compared, value="overlap"),
+        _emit("copy", when=f"{compared} AND overlap >= {COPY_OVERLAP}D"),
+        _emit("lexical", when=f"size(root_tokens) > 0 AND post_id <> first_post_id AND jaccard >= {LEXICAL_JACCARD}D"),
+        *[_emit(m, when=m) for m in flags],
     ]
-    tokens = F.transform("tokens", lambda t: _emit("token", t))
-    long = measured.select(
-        "case_id", reaction.alias("reaction"), F.explode(F.concat(F.array_compact(F.array(*rows)), tokens)).alias("r")
-    ).select("case_id", "reaction", "r.kind", "r.key", "r.value")
+    long = _long_rows(measured, rows, "NOT is_root", "tokens")
     keyed = _summed(long.unionByName(_child_rows(posts, tags, links, keep_blank_tag=False, domains=True)))
 
-    facts_per_case = keyed.groupBy("case_id").agg(
-        _distinct("account").alias("unique_account_count"), _distinct("url").alias("unique_url_count"),
-        _distinct("domain").alias("unique_domain_count"), _distinct("tag").alias("unique_hashtag_count"),
-        _distinct("parent").alias("unique_reply_parent_count"),
-        _most("account").alias("max_author_posts"), F.count_if(_is("account") & (F.col("n") == 1)).alias("single_authors"),
-        _distinct("early_account").alias("early_accounts"),
-        _total("parent").alias("replies"), _most("parent").alias("max_parent"),
-        _total("to_root").alias("to_root"), _total("deep").alias("deep"),
-        (_total("text") - _distinct("text")).alias("duplicate_posts"),
-        _total("url").alias("url_refs"), _total("domain").alias("domain_refs"),
-        *[_total(k).alias(k) for k in ("first_10m", "first_30m", "first_60m", "by_root_author", "retweet", "copy", "lexical")],
-        *[_total(s, "n").alias(f"{s}_n") for s in ("jaccard", "overlap")],
-        *[_total(s, "total").alias(f"{s}_total") for s in ("jaccard", "overlap")],
-        *[_most(s, "top").alias(f"root_{s}_max") for s in ("jaccard", "overlap")],
-        *[_total(m).alias(m) for m in flags],
-        *[_total(m, "reactions").alias(f"reaction_{m}") for m in ("question", "uncertainty", "denial")],
-        _total("token").alias("token_uses"), _distinct("token").alias("token_kinds"),
-    )
+    counts_per_case = _per_case(keyed, {
+        "unique_account_count": _distinct("account"), "unique_url_count": _distinct("url"),
+        "unique_domain_count": _distinct("domain"), "unique_hashtag_count": _distinct("tag"),
+        "unique_reply_parent_count": _distinct("parent"),
+        "max_author_posts": _most("account"), "single_authors": "count_if(kind = 'account' AND n = 1)",
+        "early_accounts": _distinct("early_account"),
+        "replies": _total("parent"), "max_parent": _most("parent"),
+        "duplicate_posts": f"{_total('text')} - {_distinct('text')}",
+        "url_refs": _total("url"), "domain_refs": _total("domain"),
+        **{k: _total(k) for k in ("to_root", "deep", "first_10m", "first_30m", "first_60m", "by_root_author", "retweet", "copy", "lexical", *flags)},
+        **{f"{k}_n": _total(k) for k in ("jaccard", "overlap")},
+        **{f"{k}_total": _total(k, "total") for k in ("jaccard", "overlap")},
+        **{f"root_{k}_max": _most(k, "top") for k in ("jaccard", "overlap")},
+        **{f"reaction_{m}": _total(m, "reactions") for m in ("question", "uncertainty", "denial")},
+        "token_uses": _total("token"), "token_kinds": _distinct("token"),
+    })
     times = time_profile(posts, roots, {"peak_10m": 10 * MINUTE, "peak_30m": 30 * MINUTE})
-    joined = anchor.withColumn("root_token_count", F.coalesce(F.size("root_tokens"), F.lit(0)).cast("double")).drop("root_tokens") \
-        .join(facts_per_case, "case_id").join(times, "case_id")
+    joined = anchor.selectExpr("* EXCEPT (root_tokens)", "cast(coalesce(size(root_tokens), 0) AS double) AS root_token_count").join(
+        counts_per_case, "case_id").join(times, "case_id")
     bots = bot_profile(roots, account_scores) if account_scores is not None else None
     return score_case(joined, bots)
 
 
-def span_features(df: DataFrame) -> DataFrame:
-    """Span, density and gap features. Sorted gaps add up to the span, so no ordering is needed."""
-    n = F.col("event_count")
-    span = F.greatest((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(0.0))
-    gap = F.when((n > 1) & (F.col("time_span_seconds") > 0), F.col("time_span_seconds") / (n - 1)).otherwise(3600.0)
-    return (
-        df.withColumn("time_span_seconds", span)
-        .withColumn("activity_density", clamp(n / (F.greatest(F.col("time_span_seconds") / 3600.0, F.lit(1.0 / 60.0)) * 10.0)))
-        .withColumn("gap_intensity", clamp(1800.0 / F.greatest(gap, F.lit(60.0))))
-    )
+# Span, density and gaps. Gaps of sorted times add up to the span, so no ordering is needed.
+SPAN_SQL = {
+    "activity_density": clamp_sql("event_count / (greatest(time_span_seconds / 3600D, 1D / 60D) * 10D)"),
+    "gap_intensity": clamp_sql(
+        "1800D / greatest(CASE WHEN event_count > 1 AND time_span_seconds > 0 THEN time_span_seconds / (event_count - 1) ELSE 3600D END, 60D)"),
+}
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
+
+
+def _with_basics(df: DataFrame) -> DataFrame:
+    out = _with(df, {
+        "time_span_seconds": "greatest((last_us - first_us) / 1000000D, 0D)",
+        "others": "greatest(event_count - 1, 1)",
+    })
+    return _with(out, SPAN_SQL)
 
 
 V4_WEIGHTS = {
@@ -327,79 +335,75 @@ SCORES = ["temporal_score", "coordination_score", "content_score"]
 
 def score_case(counts: DataFrame, bots: DataFrame | None = None) -> DataFrame:
     """Ratios, component scores, risk, confidence and evidence from the per-case counts."""
-    c = F.col
-    n, others = c("event_count"), F.greatest(c("event_count") - 1, F.lit(1))
-    people, replies = c("unique_account_count"), c("replies")
-    mean = lambda s: F.when(c(f"{s}_n") > 0, c(f"{s}_total") / c(f"{s}_n")).otherwise(0.0)
     shares = {
-        "first_window_share": ratio(c("first_60m"), n),
-        "first_10m_share": ratio(c("first_10m"), n),
-        "first_30m_share": ratio(c("first_30m"), n),
-        "peak_10m_share": ratio(c("peak_10m"), n),
-        "peak_30m_share": ratio(c("peak_30m"), n),
-        "median_reaction_delay_score": clamp(3600.0 / F.greatest(c("median_reaction_delay_seconds"), F.lit(60.0))),
-        "early_actor_share": ratio(c("early_accounts"), people),
-        "author_concentration": ratio(c("max_author_posts"), n),
-        "author_singleton_share": ratio(c("single_authors"), people),
-        "repeated_author_share": ratio(people - c("single_authors"), people),
-        "reply_ratio": ratio(replies, others),
-        "direct_reply_ratio": ratio(c("to_root"), others),
-        "deep_reply_ratio": ratio(c("deep"), others),
-        "root_reply_share": ratio(c("to_root"), replies),
-        "reply_parent_concentration": ratio(c("max_parent"), replies),
-        "thread_branching_factor": ratio(c("unique_reply_parent_count"), others),
-        "root_author_reaction_share": ratio(c("by_root_author"), others),
-        "duplicate_text_ratio": ratio(c("duplicate_posts"), n),
-        "lexical_repetition_ratio": ratio(c("duplicate_posts"), n),
-        "lexical_similarity_ratio": ratio(c("lexical"), others),
-        "root_jaccard_mean": mean("jaccard"),
-        "root_overlap_mean": mean("overlap"),
-        "root_copy_ratio": ratio(c("copy"), others),
-        "retweet_style_ratio": ratio(c("retweet"), others),
-        "repeated_url_ratio": ratio(c("url_refs") - c("unique_url_count"), c("url_refs")),
-        "repeated_domain_ratio": ratio(c("domain_refs") - c("unique_domain_count"), c("url_refs")),
-        **{f"{m}_marker_ratio": ratio(c(m), n) for m in MARKERS},
-        **{f"reaction_{m}_ratio": ratio(c(f"reaction_{m}"), others) for m in ("question", "uncertainty", "denial")},
-        "avg_token_count": c("token_uses") / n,
-        "lexical_diversity": ratio(c("token_kinds"), c("token_uses")),
-        "reply_tree_available": (c("unique_reply_parent_count") > 0).cast("double"),
+        "first_window_share": ratio_sql("first_60m", "event_count"),
+        "first_10m_share": ratio_sql("first_10m", "event_count"),
+        "first_30m_share": ratio_sql("first_30m", "event_count"),
+        "peak_10m_share": ratio_sql("peak_10m", "event_count"),
+        "peak_30m_share": ratio_sql("peak_30m", "event_count"),
+        "median_reaction_delay_score": clamp_sql("3600D / greatest(median_reaction_delay_seconds, 60D)"),
+        "early_actor_share": ratio_sql("early_accounts", "unique_account_count"),
+        "author_concentration": ratio_sql("max_author_posts", "event_count"),
+        "author_singleton_share": ratio_sql("single_authors", "unique_account_count"),
+        "repeated_author_share": ratio_sql("unique_account_count - single_authors", "unique_account_count"),
+        "reply_ratio": ratio_sql("replies", "others"),
+        "direct_reply_ratio": ratio_sql("to_root", "others"),
+        "deep_reply_ratio": ratio_sql("deep", "others"),
+        "root_reply_share": ratio_sql("to_root", "replies"),
+        "reply_parent_concentration": ratio_sql("max_parent", "replies"),
+        "thread_branching_factor": ratio_sql("unique_reply_parent_count", "others"),
+        "root_author_reaction_share": ratio_sql("by_root_author", "others"),
+        "duplicate_text_ratio": ratio_sql("duplicate_posts", "event_count"),
+        "lexical_repetition_ratio": ratio_sql("duplicate_posts", "event_count"),
+        "lexical_similarity_ratio": ratio_sql("lexical", "others"),
+        "root_jaccard_mean": "CASE WHEN jaccard_n > 0 THEN jaccard_total / jaccard_n ELSE 0D END",
+        "root_overlap_mean": "CASE WHEN overlap_n > 0 THEN overlap_total / overlap_n ELSE 0D END",
+        "root_copy_ratio": ratio_sql("copy", "others"),
+        "retweet_style_ratio": ratio_sql("retweet", "others"),
+        "repeated_url_ratio": ratio_sql("url_refs - unique_url_count", "url_refs"),
+        "repeated_domain_ratio": ratio_sql("domain_refs - unique_domain_count", "url_refs"),
+        **{f"{m}_marker_ratio": ratio_sql(m, "event_count") for m in MARKERS},
+        **{f"reaction_{m}_ratio": ratio_sql(f"reaction_{m}", "others") for m in ("question", "uncertainty", "denial")},
+        "avg_token_count": "token_uses / event_count",
+        "lexical_diversity": ratio_sql("token_kinds", "token_uses"),
+        "reply_tree_available": "CASE WHEN unique_reply_parent_count > 0 THEN 1D ELSE 0D END",
     }
-    out = span_features(counts).withColumns(shares)
-    out = out.withColumns({name: clamp(weighted(terms)) for name, terms in V4_WEIGHTS.items()})
-    out = out.withColumn("risk_score", clamp(weighted(V4_RISK)))
-    strongest = F.greatest("content_score", "discussion_score", "coordination_score")
-    out = out.withColumns({
-        "risk_level": risk_level(c("risk_score")),
-        "confidence_score": F.least(F.lit(0.95), 0.50 + 0.18 * clamp(n / 12.0) + 0.27 * strongest),
+    out = _with(_with_basics(counts), shares)
+    out = _with(out, {name: clamp_sql(weighted_sql(terms)) for name, terms in V4_WEIGHTS.items()})
+    out = _with(out, {
+        "risk_score": clamp_sql(weighted_sql(V4_RISK)),
+        "confidence_score": "least(0.95D, 0.5D + 0.18D * " + clamp_sql("event_count / 12D")
+                            + " + 0.27D * greatest(content_score, discussion_score, coordination_score))",
     })
     if bots is None:
-        out = out.withColumns({b: F.lit(0.0) for b in BOT_FEATURES})
+        out = _with(out, {b: "0D" for b in BOT_FEATURES})
     else:
-        out = out.join(bots, "case_id", "left").withColumns({b: F.coalesce(b, F.lit(0.0)) for b in BOT_FEATURES})
+        out = out.join(bots, "case_id", "left").na.fill(0.0, BOT_FEATURES)
     extra = [("bot_score_max", 0.60), ("bot_high_share", 0.30), ("broadcast_relief", 0.30)]
-    out = out.withColumn("evidence", F.concat(
-        top_evidence(V4_EVIDENCE, 4, 0.18),
-        F.array_compact(F.array(*[F.when(c(name) >= least, _line(name, c(name))) for name, least in extra])),
-    ))
+    more = f"array_compact(array({', '.join(f'CASE WHEN {n} >= {least}D THEN struct({n!r} AS name, {n} AS value) END' for n, least in extra)}))"
+    chosen = f"concat({top_values(V4_EVIDENCE, 4, 0.18)}, {more})"
+    out = _with(out, {"risk_level": level_sql("risk_score"), "evidence": evidence_lines(chosen)})
     kept = dict.fromkeys([
         "case_id", "root_post_id", *COUNT_FEATURES, *TEMPORAL_FEATURES, *COORDINATION_FEATURES, *CONTENT_FEATURES, *BOT_FEATURES,
         *SCORES, "risk_score", "risk_level", "confidence_score", "evidence",
     ])
-    return out.select(*kept, F.lit(FEATURE_VERSION).alias("feature_version"), F.lit(SCORE_VERSION).alias("score_version"))
+    return out.selectExpr(*kept, f"'{FEATURE_VERSION}' AS feature_version", f"'{SCORE_VERSION}' AS score_version")
 
 
 def _line(name: str, value: Column) -> Column:
-    return F.format_string(f"{name}=%.3f", value)
+    return F.concat(F.lit(f"{name}="), fixed(value, 3))
 
 
-def top_evidence(names: list[str], limit: int, least: float) -> Column:
-    """The `limit` largest values in listed order on ties, without those below `least`."""
-    items = F.array(*[
-        F.struct((-F.col(name)).alias("order"), F.lit(i).alias("i"), F.col(name).alias("value"), _line(name, F.col(name)).alias("line"))
-        for i, name in enumerate(names)
-    ])
-    first = F.slice(F.sort_array(items), 1, limit)
-    return F.transform(F.filter(first, lambda e: e["value"] >= least), lambda e: e["line"])
+def top_values(names: list[str], limit: int, least: float) -> str:
+    """The `limit` largest values in listed order on ties, without those below `least`: array of (name, value)."""
+    items = ", ".join(f"struct(-{n} AS rank, {i} AS i, '{n}' AS name, {n} AS value)" for i, n in enumerate(names))
+    first = f"slice(sort_array(array({items})), 1, {limit})"
+    return f"transform(filter({first}, e -> e.value >= {least}D), e -> struct(e.name AS name, e.value AS value))"
+
+
+def evidence_lines(items: str) -> str:
+    """'name=0.123' for each (name, value)."""
+    return f"transform({items}, e -> concat(e.name, '=', {fixed3_sql('e.value')}))"
 
 
 def bot_profile(roots: DataFrame, account_scores: DataFrame) -> DataFrame:
@@ -408,17 +412,17 @@ def bot_profile(roots: DataFrame, account_scores: DataFrame) -> DataFrame:
     top = (
         account_scores.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
         .groupBy("case_id").agg(*[
-            F.coalesce(F.max(F.when(F.col("rank") == k, F.round("bot_score", 6))), F.lit(0.0)).alias(f"bot_top_score_{k}")
+            F.coalesce(F.max(F.when(F.col("rank") == k, round_exact(F.col("bot_score"), 6))), F.lit(0.0)).alias(f"bot_top_score_{k}")
             for k in (1, 2, 3)])
     )
     s = F.col("bot_score")
     summary = account_scores.groupBy("case_id").agg(
-        F.count("*").cast("double").alias("bot_account_count"), F.round(F.avg(s), 6).alias("bot_score_mean"),
-        F.round(F.max(s), 6).alias("bot_score_max"), F.round(F.avg((s >= 0.5).cast("double")), 6).alias("bot_high_share"),
+        F.count("*").cast("double").alias("bot_account_count"), round_exact(F.avg(s), 6).alias("bot_score_mean"),
+        round_exact(F.max(s), 6).alias("bot_score_max"), round_exact(F.avg((s >= 0.5).cast("double")), 6).alias("bot_high_share"),
     )
     of_root = roots.where("root_is_flagged").select("case_id", F.col("root_account_id").alias("account_id")).join(
         account_scores, ["case_id", "account_id"]
-    ).select("case_id", F.round("bot_score", 6).alias("root_author_bot_score"))
+    ).select("case_id", round_exact(F.col("bot_score"), 6).alias("root_author_bot_score"))
     return summary.join(top, "case_id").join(of_root, "case_id", "left")
 
 
@@ -456,42 +460,35 @@ def case_features_v1(posts: DataFrame, tags: DataFrame, links: DataFrame) -> Dat
         prepared, roots.select("case_id", "first_us"), ["case_id"], "post_id",
         counts=roots.select("case_id", F.col("event_count").alias("__n")),
     )
-    one = F.lit(0)
     rows = [
-        _emit("account", F.col("account_id")),
-        _emit("reply", one, F.col("reply_to_post_id").isNotNull()),
-        _emit("text", F.col("text_id"), F.col("text_id").isNotNull()),
-        _emit("first_60m", one, F.col("us") - F.col("first_us") <= 60 * MINUTE),
-        *[_emit(m, one, F.col(m)) for m in flags],
+        _emit("account", "account_id"), _emit("reply", when="reply_to_post_id IS NOT NULL"),
+        _emit("text", "text_id", "text_id IS NOT NULL"), _emit("first_60m", when=f"us - first_us <= {60 * MINUTE}"),
+        *[_emit(m, when=m) for m in flags],
     ]
-    long = met.select(
-        "case_id", F.lit(False).alias("reaction"), F.explode(F.array_compact(F.array(*rows))).alias("r")
-    ).select("case_id", "reaction", "r.kind", "r.key", "r.value")
+    long = _long_rows(met, rows, "false")
     keyed = _summed(long.unionByName(_child_rows(posts, tags, links, keep_blank_tag=True, domains=False)))
-    counts = keyed.groupBy("case_id").agg(
-        _distinct("account").alias("unique_account_count"), _distinct("url").alias("unique_url_count"),
-        _distinct("tag").alias("unique_hashtag_count"), _most("account").alias("max_author_posts"),
-        _total("reply").alias("replies"), (_total("text") - _distinct("text")).alias("duplicate_posts"),
-        _total("url").alias("url_refs"), _total("first_60m").alias("first_60m"), *[_total(m).alias(m) for m in flags],
-    )
-    c = F.col
-    n, others = c("event_count"), F.greatest(c("event_count") - 1, F.lit(1))
-    out = span_features(roots.join(counts, "case_id")).withColumns({
-        "first_window_share": ratio(c("first_60m"), n),
-        "author_concentration": ratio(c("max_author_posts"), n),
-        "reply_ratio": ratio(c("replies"), others),
-        "duplicate_text_ratio": ratio(c("duplicate_posts"), n),
-        "lexical_repetition_ratio": ratio(c("duplicate_posts"), n),
-        "repeated_url_ratio": ratio(c("url_refs") - c("unique_url_count"), c("url_refs")),
-        **{f"{m}_marker_ratio": ratio(c(m), n) for m in flags},
+    counts = _per_case(keyed, {
+        "unique_account_count": _distinct("account"), "unique_url_count": _distinct("url"),
+        "unique_hashtag_count": _distinct("tag"), "max_author_posts": _most("account"), "replies": _total("reply"),
+        "duplicate_posts": f"{_total('text')} - {_distinct('text')}", "url_refs": _total("url"),
+        "first_60m": _total("first_60m"), **{m: _total(m) for m in flags},
     })
-    out = out.withColumns({name: clamp(weighted(terms)) for name, terms in V1_WEIGHTS.items()})
-    out = out.withColumn("risk_score", clamp(weighted(V1_RISK)))
-    return out.select(
+    out = _with(_with_basics(roots.join(counts, "case_id")), {
+        "first_window_share": ratio_sql("first_60m", "event_count"),
+        "author_concentration": ratio_sql("max_author_posts", "event_count"),
+        "reply_ratio": ratio_sql("replies", "others"),
+        "duplicate_text_ratio": ratio_sql("duplicate_posts", "event_count"),
+        "lexical_repetition_ratio": ratio_sql("duplicate_posts", "event_count"),
+        "repeated_url_ratio": ratio_sql("url_refs - unique_url_count", "url_refs"),
+        **{f"{m}_marker_ratio": ratio_sql(m, "event_count") for m in flags},
+    })
+    out = _with(out, {name: clamp_sql(weighted_sql(terms)) for name, terms in V1_WEIGHTS.items()})
+    out = _with(out, {"risk_score": clamp_sql(weighted_sql(V1_RISK))})
+    return out.selectExpr(
         "case_id", "event_count", "unique_account_count", "unique_url_count", "unique_hashtag_count", "time_span_seconds",
-        *V1_EVIDENCE, *SCORES, "risk_score", risk_level(c("risk_score")).alias("risk_level"),
-        top_evidence(V1_EVIDENCE, 3, 0.20).alias("evidence"),
-        F.lit(FEATURE_VERSION_V1).alias("feature_version"), F.lit(SCORE_VERSION_V1).alias("score_version"),
+        *V1_EVIDENCE, *SCORES, "risk_score", level_sql("risk_score") + " AS risk_level",
+        evidence_lines(top_values(V1_EVIDENCE, 3, 0.20)) + " AS evidence",
+        f"'{FEATURE_VERSION_V1}' AS feature_version", f"'{SCORE_VERSION_V1}' AS score_version",
     )
 
 
@@ -525,14 +522,12 @@ def feature_rows(features: DataFrame, names: list[str] | None = None) -> DataFra
 def top_features(features: DataFrame, limit: int = 8) -> DataFrame:
     """The features of largest absolute value per case, in group order on ties."""
     items = [(g, name) for g, names in FEATURE_GROUPS.items() for name in names]
-    rows = F.array(*[
-        F.struct((-F.abs(F.col(n))).alias("order"), F.lit(i).alias("i"), F.lit(g).alias("group"), F.lit(n).alias("name"),
-                 F.col(n).alias("value"))
+    rows = ", ".join(
+        f"CASE WHEN {n} IS NOT NULL AND NOT isnan({n}) THEN struct(-abs({n}) AS rank, {i} AS i, '{g}' AS feature_group, '{n}' AS name, {n} AS value) END"
         for i, (g, n) in enumerate(items)
-    ])
-    first = F.slice(F.sort_array(F.filter(rows, lambda r: r["value"].isNotNull() & ~F.isnan(r["value"]))), 1, limit)
-    return features.select("case_id", F.posexplode(first).alias("p", "e")).select(
-        "case_id", (F.col("p") + 1).alias("position"), F.col("e.group").alias("feature_group"), "e.name", "e.value")
+    )
+    return features.selectExpr("case_id", f"posexplode(slice(sort_array(array_compact(array({rows}))), 1, {limit})) AS (p, e)").selectExpr(
+        "case_id", "p + 1 AS position", "e.feature_group", "e.name", "e.value")
 
 
 SIGNALS = [
@@ -557,19 +552,19 @@ def evidence_cards(scored: DataFrame, score: str = "oof_probability") -> DataFra
     c = F.col
     missing = F.col("feature_version").isNull()
     signals = F.array_compact(F.array(*[
-        F.when(c(name) >= least, F.format_string(f"{label}: {name}=%.3f", c(name).cast("double"))) for name, least, label in SIGNALS
+        F.when(c(name) >= least, _line(f"{label}: {name}", c(name))) for name, least, label in SIGNALS
     ]))
     small = F.when(F.coalesce("post_count", F.lit(0)) < 5, F.concat(
         F.lit("small case size: post_count="), F.coalesce("post_count", F.lit(0)).cast("string")))
     counter = F.array_compact(F.array(
         small,
         F.when(missing, "feature values are not present in the sampled feature CSV"),
-        F.when(c("lexical_diversity") >= 0.75, F.format_string("high lexical diversity: lexical_diversity=%.3f", c("lexical_diversity"))),
-        F.when(c("root_overlap_mean") < 0.10, F.format_string("low direct root overlap: root_overlap_mean=%.3f", c("root_overlap_mean"))),
+        F.when(c("lexical_diversity") >= 0.75, _line("high lexical diversity: lexical_diversity", c("lexical_diversity"))),
+        F.when(c("root_overlap_mean") < 0.10, _line("low direct root overlap: root_overlap_mean", c("root_overlap_mean"))),
     ))
     some = lambda a, otherwise: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(otherwise)))
     return scored.select(
-        "case_id", F.round(score, 6).alias("risk_score"), risk_level(c(score), 0.8, 0.5).alias("risk_level"),
+        "case_id", round_exact(c(score), 6).alias("risk_score"), risk_level(c(score), 0.8, 0.5).alias("risk_level"),
         F.when(missing, F.array(F.lit("feature snapshot unavailable in exported sample"))).otherwise(
             some(F.slice(signals, 1, 8), "no single strong threshold signal; ranked by combined model weights")
         ).alias("main_signals"),

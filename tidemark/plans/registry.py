@@ -39,8 +39,9 @@ def stamp(column: str | Column) -> Column:
 
 
 def r6(column: str | Column) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return F.round(c.cast("double"), 6)
+    """Six decimals for comparison, half away from zero on the double itself as DuckDB does it."""
+    c = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
 
 
 def big(column: str | Column) -> Column:

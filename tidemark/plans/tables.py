@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.text import host_name
+
 # Text put before a document so that posts of one kind carry the markers of that kind.
 PREFIX_BY_TYPE = {
     "purchase": "Breaking urgent: ",
@@ -52,13 +54,14 @@ class Tables:
         )
         if not content:
             return posts
+        # The given files are one row group each; the shuffled join spreads the texts over all cores.
         documents = self.raw("documents")
         n = documents.count()  # answered from the Parquet footers
         prefix = F.create_map(*[F.lit(x) for pair in PREFIX_BY_TYPE.items() for x in pair])
         texts = documents.select(F.col("doc_id").alias("doc_key"), "text", F.col("lang").alias("language"))
         return (
             posts.withColumn("doc_key", F.col("post_id") % n)
-            .join(texts, "doc_key")
+            .join(texts.hint("shuffle_hash"), "doc_key")
             .withColumn("content", F.concat(prefix[F.col("kind")], F.col("text")))
             .drop("doc_key", "text")
         )
@@ -80,7 +83,7 @@ class Tables:
         return links.join(pages.select("page_id", "url"), "page_id").select(
             "post_id",
             url,
-            F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")).alias("domain"),
+            host_name(url).alias("domain"),
             F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.concat(url, F.lit("&full=1"))).alias("expanded_url"),
         )
 

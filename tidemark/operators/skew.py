@@ -95,3 +95,19 @@ def totals_before(
         own = F.coalesce(F.sum(m).over(w), F.lit(0))
         out = out.withColumn(f"{m}__before", reduce(lambda a, b: a + b, [F.col(b[i]) for b in bases], own))
     return out.drop(*[name for names in bases for name in names])
+
+
+def exact_median(df: DataFrame, part: list[str], value: str, grid: float, name: str = "median") -> DataFrame:
+    """Exact median of `value` per part; equal values are counted first, then ranked grid cell by grid cell."""
+    cells = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*part, F.floor(F.col(value) / grid).alias("__cell"), F.col(value).alias("__value"))
+        .agg(F.count("*").alias("__n"))
+    )
+    totals = cells.groupBy(*part).agg(F.sum("__n").alias("__total"))
+    ranked = totals_before(cells, part, [["__cell"], ["__value"]], ["__n"])
+    placed = salted_join(ranked, totals, part, "__value") if part else ranked.withColumn("__total", totals.select("__total").scalar())
+    before, reached, total = F.col("__n__before"), F.col("__n__before") + F.col("__n"), F.col("__total")
+    holds = lambda k: F.max(F.when((before < k) & (reached >= k), F.col("__value")))
+    middle = (holds(F.floor((total + 1) / 2)) + holds(F.floor(total / 2) + 1)) / 2
+    return placed.groupBy(*part).agg(middle.alias(name))

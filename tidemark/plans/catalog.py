@@ -4,3 +4,4 @@ from tidemark.plans.registry import QUERIES, SQL
 from tidemark.plans import report_queries  # noqa: F401
 from tidemark.plans import feature_queries  # noqa: F401
 from tidemark.plans import post_queries  # noqa: F401
+from tidemark.plans import metric_queries  # noqa: F401

@@ -84,9 +84,13 @@ def t12(t: Tables):
                       F.length("clean_text").cast("bigint").alias("clean_length"))
 
 
-@query("t12_batch_summary", views="posts analysis_results", sql="""
-SELECT count(*) AS processed, 0::BIGINT AS failed, 0::BIGINT AS high, 0::BIGINT AS medium, count(*) AS low
-FROM posts p WHERE NOT EXISTS (SELECT 1 FROM analysis_results r WHERE r.post_id = p.post_id)""")
+@query("t12_batch_summary", views="posts analysis_results", sql=f"""
+WITH src AS (SELECT post_id, trim({STRIP.format('content')}, E' \\t\\n\\r') AS txt FROM posts p
+  WHERE NOT EXISTS (SELECT 1 FROM analysis_results r WHERE r.post_id = p.post_id)),{lexicon_sql('src')},
+e AS (SELECT CASE WHEN txt <> '' THEN CASE WHEN manipulation_score > 0.7 AND confidence_score > 0.7 THEN 1
+  WHEN manipulation_score > 0.4 THEN 2 ELSE 3 END END AS p FROM lex)
+SELECT count(p) AS processed, count(*) FILTER (WHERE p IS NULL) AS failed, count(*) FILTER (WHERE p = 1) AS high,
+  count(*) FILTER (WHERE p = 2) AS medium, count(*) FILTER (WHERE p = 3) AS low FROM e""")
 def t12_summary(t: Tables):
     return P.analysis_run_summary(P.analyse_unanalysed(t.posts(), t.analysis_results()))
 

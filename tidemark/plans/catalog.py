@@ -5,3 +5,5 @@ from tidemark.plans import report_queries  # noqa: F401
 from tidemark.plans import feature_queries  # noqa: F401
 from tidemark.plans import post_queries  # noqa: F401
 from tidemark.plans import metric_queries  # noqa: F401
+from tidemark.plans import source_queries  # noqa: F401
+from tidemark.plans import model_queries  # noqa: F401

@@ -35,7 +35,7 @@ def case_frame(t: Tables) -> DataFrame:
 NUMERIC = [c for c in C.MODEL_FEATURES if c not in C.BOT_FEATURES]
 
 ACCOUNT_SQL = rf"""
-WITH tw AS (SELECT account_id, count(*)::DOUBLE AS n, 1.0::DOUBLE AS avg_num_hashtags, avg(kind IN ('click', 'purchase'))::DOUBLE AS avg_num_urls,
+WITH tw AS (SELECT account_id, count(*)::DOUBLE AS n, 1.0::DOUBLE AS avg_num_hashtags, avg((kind IN ('click', 'purchase'))::INT) AS avg_num_urls,
   avg((kind = 'click')::INT) AS avg_num_mentions, avg(reposts_count) AS rt, avg(replies_count) AS rp, avg(likes_count) AS fv, avg(length(content)) AS ln,
   avg((kind = 'click')::INT) AS retweet_post_ratio, avg((coalesce(reply_to_post_id, 0) <> 0)::INT) AS reply_post_ratio, count(DISTINCT kind) AS src,
   count(DISTINCT trim(regexp_replace(lower(content), '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+', ' ', 'g'))) AS texts FROM posts GROUP BY 1),

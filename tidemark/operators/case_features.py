@@ -24,6 +24,7 @@ FEATURE_VERSION_V1, SCORE_VERSION_V1 = "case-features-v1", "case-score-v1"
 
 MINUTE = 60_000_000  # all times below are microseconds
 COPY_OVERLAP, LEXICAL_JACCARD = 0.60, 0.40
+FEW_ROOTS = 100_000  # ids that may be broadcast: under a megabyte
 
 MARKERS = {
     "urgency": L.URGENCY_MARKERS,
@@ -56,15 +57,19 @@ def root_posts(posts: DataFrame) -> DataFrame:
 
 
 def _root_texts(posts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Tokens and markers of the roots. The flagged ones come from a pushed-down filter on posts."""
-    flagged = posts.where(F.col("is_case_root")).join(
-        roots.where("root_is_flagged").select("case_id", F.col("root_post_id").alias("post_id")),
-        ["case_id", "post_id"], "left_semi",
-    )
-    unflagged = posts.join(
-        roots.where(~F.col("root_is_flagged")).select(F.col("root_post_id").alias("post_id")), "post_id", "left_semi"
-    )
-    texts = flagged.select("case_id", "content").unionByName(unflagged.select("case_id", "content"))
+    """Tokens and markers of the roots.
+
+    Flagged roots come from a filter pushed down to the posts. Cases without one are
+    counted first: mostly there are none, and their texts are not looked for; a few
+    are broadcast; many are met in a shuffled join.
+    """
+    flagged = roots.where("root_is_flagged").select("case_id", F.col("root_post_id").alias("post_id"))
+    texts = posts.where(F.col("is_case_root")).join(flagged, ["case_id", "post_id"], "left_semi").select("case_id", "content")
+    others = roots.where(~F.col("root_is_flagged")).select(F.col("root_post_id").alias("post_id"))
+    n = others.count()
+    if n:
+        few = F.broadcast(others) if n <= FEW_ROOTS else others
+        texts = texts.unionByName(posts.join(few, "post_id", "left_semi").select("case_id", "content"))
     lowered = texts.withColumn("lowered", F.lower(F.coalesce("content", F.lit(""))))
     return lowered.select(
         "case_id", X.token_ids(X.words(F.col("content"))).alias("root_tokens"),
@@ -121,9 +126,20 @@ def time_profile(posts: DataFrame, roots: DataFrame, windows: dict[str, int]) ->
 # -- long rows ------------------------------------------------------------------------------------
 
 
+# Kinds are numbers in the rows: a fixed-width key makes the sums over them much cheaper.
+KINDS = [
+    "token", "account", "early_account", "parent", "to_root", "deep", "reply", "text", "first_10m", "first_30m", "first_60m",
+    "by_root_author", "retweet", "jaccard", "overlap", "copy", "lexical", "tag", "url", "domain", *MARKERS,
+]
+
+
+def _code(kind: str) -> str:
+    return f"{KINDS.index(kind)}Y"
+
+
 def _emit(kind: str, key: str = "0", when: str | None = None, value: str = "null") -> str:
     """One long row as SQL text, or null where the condition does not hold."""
-    row = f"struct('{kind}' AS kind, cast({key} AS bigint) AS key, cast({value} AS double) AS value)"
+    row = f"struct({_code(kind)} AS kind, cast({key} AS bigint) AS key, cast({value} AS double) AS value)"
     return row if when is None else f"CASE WHEN {when} THEN {row} END"
 
 
@@ -148,14 +164,14 @@ def _child_rows(posts: DataFrame, tags: DataFrame, links: DataFrame, keep_blank_
     """Long rows of the tags and links, taken from the child tables."""
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     tag = clean(F.col("tag"))
-    rows = tags.select("post_id", F.lit("tag").alias("kind"), tag.alias("value"))
+    rows = tags.select("post_id", F.expr(_code("tag")).alias("kind"), tag.alias("value"))
     if not keep_blank_tag:
         rows = rows.where(F.col("value") != "")
     link = clean(F.col("link"))
     linked = resolved_links(links).select("post_id", link.alias("link")).where(F.col("link") != "")
-    rows = rows.unionByName(linked.select("post_id", F.lit("url").alias("kind"), F.col("link").alias("value")))
+    rows = rows.unionByName(linked.select("post_id", F.expr(_code("url")).alias("kind"), F.col("link").alias("value")))
     if domains:
-        host = linked.select("post_id", F.lit("domain").alias("kind"), X.net_location(F.col("link")).alias("value"))
+        host = linked.select("post_id", F.expr(_code("domain")).alias("kind"), X.net_location(F.col("link")).alias("value"))
         rows = rows.unionByName(host.where(F.col("value") != ""))
     placed = rows.join(posts.select("post_id", "case_id"), "post_id")
     return placed.select(
@@ -165,15 +181,15 @@ def _child_rows(posts: DataFrame, tags: DataFrame, links: DataFrame, keep_blank_
 
 
 def _total(kind: str, what: str = "n") -> str:
-    return f"coalesce(sum(CASE WHEN kind = '{kind}' THEN {what} END), 0)"
+    return f"coalesce(sum(CASE WHEN kind = {_code(kind)} THEN {what} END), 0)"
 
 
 def _most(kind: str, what: str = "n") -> str:
-    return f"coalesce(max(CASE WHEN kind = '{kind}' THEN {what} END), 0)"
+    return f"coalesce(max(CASE WHEN kind = {_code(kind)} THEN {what} END), 0)"
 
 
 def _distinct(kind: str) -> str:
-    return f"count_if(kind = '{kind}')"
+    return f"count_if(kind = {_code(kind)})"
 
 
 def _per_case(keyed: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -235,7 +251,7 @@ def case_features(posts: DataFrame, tags: DataFrame, links: DataFrame, account_s
         "unique_account_count": _distinct("account"), "unique_url_count": _distinct("url"),
         "unique_domain_count": _distinct("domain"), "unique_hashtag_count": _distinct("tag"),
         "unique_reply_parent_count": _distinct("parent"),
-        "max_author_posts": _most("account"), "single_authors": "count_if(kind = 'account' AND n = 1)",
+        "max_author_posts": _most("account"), "single_authors": f"count_if(kind = {_code('account')} AND n = 1)",
         "early_accounts": _distinct("early_account"),
         "replies": _total("parent"), "max_parent": _most("parent"),
         "duplicate_posts": f"{_total('text')} - {_distinct('text')}",

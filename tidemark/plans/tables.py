@@ -54,14 +54,16 @@ class Tables:
         )
         if not content:
             return posts
-        # The given files are one row group each; the shuffled join spreads the texts over all cores.
+        # The given files are one row group each and a text serves many posts, so sizes say little
+        # about the work: an explicit number of partitions keeps all cores on it.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         documents = self.raw("documents")
         n = documents.count()  # answered from the Parquet footers
         prefix = F.create_map(*[F.lit(x) for pair in PREFIX_BY_TYPE.items() for x in pair])
         texts = documents.select(F.col("doc_id").alias("doc_key"), "text", F.col("lang").alias("language"))
         return (
-            posts.withColumn("doc_key", F.col("post_id") % n)
-            .join(texts.hint("shuffle_hash"), "doc_key")
+            posts.withColumn("doc_key", F.col("post_id") % n).repartition(parts, "doc_key")
+            .join(texts.repartition(parts, "doc_key").hint("shuffle_hash"), "doc_key")
             .withColumn("content", F.concat(prefix[F.col("kind")], F.col("text")))
             .drop("doc_key", "text")
         )

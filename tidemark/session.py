@@ -28,7 +28,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = 8, app: str = "tidemark", shuffle_partitions: int | None = None) -> SparkSession:
+def local_session(cpus: int | str = 8, app: str = "tidemark", shuffle_partitions: int | None = None,
+                  conf: dict[str, str] | None = None) -> SparkSession:
     """A single-JVM session for tests and the benchmark; clusters bring their own."""
     parts = shuffle_partitions or (cpus if isinstance(cpus, int) else 8)
     builder = (
@@ -40,13 +41,16 @@ def local_session(cpus: int | str = 8, app: str = "tidemark", shuffle_partitions
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # one process, one local application
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by spark.checkpoint.dir.
 
@@ -57,9 +61,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_FOLDERS[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -433,7 +433,7 @@ def a21(t: Tables):
         r6("top_account_share").alias("top_account_share"), big("duration_min").alias("duration_min"))
 
 
-OFFSETS = """SELECT p.*, greatest(0, floor((epoch_ms(p.published_at) - epoch_ms(c.first_event_at)) / 1000.0 + 0.5))::BIGINT AS t_offset_sec
+OFFSETS = """SELECT p.*, greatest(0, floor((epoch_us(p.published_at) // 1000 - epoch_us(c.first_event_at) // 1000) / 1000.0 + 0.5))::BIGINT AS t_offset_sec
   FROM posts p JOIN cases c USING (case_id)"""
 
 

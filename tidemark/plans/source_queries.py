@@ -389,16 +389,15 @@ def w10(t: Tables):
 
 
 @query("c21_bot_profile", views="posts", sql="""
-WITH s AS (SELECT DISTINCT case_id, account_id, ((account_id * 37 + case_id) % 1000) / 1000.0::DOUBLE AS b FROM posts),
-k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY b DESC, account_id) AS rn FROM s)
-SELECT case_id, count(*)::DOUBLE AS bot_account_count, round(avg(b), 5) AS bot_score_mean, max(b) AS bot_score_max, round(avg((b >= 0.5)::INT), 5) AS bot_high_share,
-  max(b) FILTER (WHERE rn = 1) AS bot_top_score_1, coalesce(max(b) FILTER (WHERE rn = 2), 0) AS bot_top_score_2, coalesce(max(b) FILTER (WHERE rn = 3), 0) AS bot_top_score_3,
-  any_value((SELECT s2.b FROM s s2 JOIN posts p ON p.case_id = s2.case_id AND p.account_id = s2.account_id AND p.is_case_root WHERE s2.case_id = k.case_id)) AS root_author_bot_score
-FROM k GROUP BY 1""")
+WITH s AS (SELECT DISTINCT case_id, account_id, ((account_id * 37 + case_id) % 1024) / 1024.0::DOUBLE AS b FROM posts),
+k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY b DESC, account_id) AS rn FROM s),
+f AS (SELECT case_id, count(*) AS n, avg(b) AS mean, max(b) AS top, avg((b >= 0.5)::INT) AS high, coalesce(max(b) FILTER (WHERE rn = 2), 0) AS b2,
+  coalesce(max(b) FILTER (WHERE rn = 3), 0) AS b3 FROM k GROUP BY 1),
+r AS (SELECT s.case_id, s.b FROM s JOIN posts p ON p.case_id = s.case_id AND p.account_id = s.account_id AND p.is_case_root)
+SELECT case_id, n::DOUBLE AS bot_account_count, format('{:.6f}', mean)::DOUBLE AS bot_score_mean, format('{:.6f}', top)::DOUBLE AS bot_score_max,
+  format('{:.6f}', high)::DOUBLE AS bot_high_share, format('{:.6f}', top)::DOUBLE AS bot_top_score_1, format('{:.6f}', b2)::DOUBLE AS bot_top_score_2,
+  format('{:.6f}', b3)::DOUBLE AS bot_top_score_3, format('{:.6f}', r.b)::DOUBLE AS root_author_bot_score FROM f JOIN r USING (case_id)""")
 def c21(t: Tables):
     posts = t.posts(False)
-    scores = posts.select("case_id", "account_id").distinct().withColumn("bot_score", (F.col("account_id") * 37 + F.col("case_id")) % 1000 / F.lit(1000.0))
-    out = C.bot_profile(C.root_posts(posts), scores)
-    five = lambda c: (F.floor(F.col(c) * 1e5 + 0.5) / 1e5).alias(c)
-    return out.select("case_id", "bot_account_count", five("bot_score_mean"), "bot_score_max", five("bot_high_share"), *[
-        f"bot_top_score_{k}" for k in (1, 2, 3)], "root_author_bot_score")
+    scores = posts.select("case_id", "account_id").distinct().withColumn("bot_score", (F.col("account_id") * 37 + F.col("case_id")) % 1024 / F.lit(1024.0))
+    return C.bot_profile(C.root_posts(posts), scores).select("case_id", *C.BOT_FEATURES)

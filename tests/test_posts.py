@@ -51,3 +51,11 @@ def test_similar_posts_against_brute_force(spark):
 def test_trigrams_of_a_word(spark):
     df = spark.createDataFrame([("Cat, cat!",)], "t string")
     assert sorted(df.select(X.trigrams(F.col("t"))).first()[0]) == sorted(["  c", " ca", "cat", "at "])
+
+
+def test_retweet_prefixes(spark):
+    from tidemark.functions.lexicons import RETWEET_PREFIXES
+
+    texts = ["rt @a hi", "  rt @a", "rt ", "rt", "via@x", " \u00a0mt b", "art @", "“@you", "via  \n"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.leads_with(F.col("t"), RETWEET_PREFIXES)).collect()]
+    assert got == [t.strip().startswith(tuple(RETWEET_PREFIXES)) for t in texts]

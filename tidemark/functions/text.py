@@ -15,20 +15,26 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def words_of_lowered(lowered: Column) -> Column:
+    """Words of a lowered text; links and everything but letters, digits, _ and @ separate them."""
+    return F.filter(F.split(F.regexp_replace(lowered, _URL_OR_NON_WORD, " "), " ", -1), lambda w: w != "")
+
+
 def words(text: Column) -> Column:
-    """Words of the lowered text; links and everything but letters, digits, _ and @ separate them."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _URL_OR_NON_WORD, " ")
-    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    return words_of_lowered(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def normalise(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
+def strict_of_lowered(lowered: Column) -> Column:
+    return collapse_spaces(F.regexp_replace(lowered, rf"[^\p{{L}}\p{{Nd}}{SPACE}]+", ""))
+
+
 def normalise_strict(text: Column) -> Column:
     """Lower case, letters and digits only, other characters deleted, spaces collapsed."""
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{Nd}}{SPACE}]", "")
-    return collapse_spaces(kept)
+    return strict_of_lowered(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def _is_token(w: Column) -> Column:
@@ -58,6 +64,19 @@ def starts_with_any(text: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(text, F.lit(p)) for p in prefixes])
 
 
+def leads_with(lowered: Column, prefixes: list[str]) -> Column:
+    """Whether the stripped text starts with one of the prefixes, without stripping its end.
+
+    A prefix that ends in a space needs something after it, or stripping would have cut it.
+    """
+    head = F.regexp_replace(lowered, f"^[{SPACE}]+", "")
+    tests = [
+        F.startswith(head, F.lit(p)) & (F.substring(head, len(p) + 1, 2**30).rlike(f"[^{SPACE}]") if p.endswith(" ") else F.lit(True))
+        for p in prefixes
+    ]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def strip_tags(text: Column) -> Column:
     """Drop everything from '<' to the next '>' (or the end), then stray '>'."""
     return F.regexp_replace(F.regexp_replace(text, "<[^>]*>?", ""), ">", "")

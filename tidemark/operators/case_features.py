@@ -72,7 +72,7 @@ def _root_texts(posts: DataFrame, roots: DataFrame) -> DataFrame:
         texts = texts.unionByName(posts.join(few, "post_id", "left_semi").select("case_id", "content"))
     lowered = texts.withColumn("lowered", F.lower(F.coalesce("content", F.lit(""))))
     return lowered.select(
-        "case_id", X.token_ids(X.words(F.col("content"))).alias("root_tokens"),
+        "case_id", X.token_ids(X.words_of_lowered(F.col("lowered"))).alias("root_tokens"),
         *[X.contains_any(F.col("lowered"), MARKERS[m]).cast("double").alias(f"root_{m}_flag")
           for m in ("question", "uncertainty", "claim", "denial")],
     )
@@ -210,12 +210,12 @@ def case_features(posts: DataFrame, tags: DataFrame, links: DataFrame, account_s
         F.unix_micros("published_at").alias("us"), F.lower(F.coalesce("content", F.lit(""))).alias("lowered"),
     )
     flags = [m for m in MARKERS]
-    prepared = lowered.withColumn("words", X.words(F.col("lowered"))).select(
+    prepared = lowered.withColumn("words", X.words_of_lowered(F.col("lowered"))).select(
         "case_id", "post_id", "account_id", "reply_to_post_id", "is_root", "us",
         F.when(F.size("words") > 0, F.xxhash64("words")).alias("text_id"),
         X.token_ids(F.col("words")).alias("tokens"),
         *[X.contains_any(F.col("lowered"), MARKERS[m]).alias(m) for m in flags],
-        X.starts_with_any(X.strip_space(F.col("lowered")), L.RETWEET_PREFIXES).alias("retweet"),
+        X.leads_with(F.col("lowered"), L.RETWEET_PREFIXES).alias("retweet"),
     )
     counts = roots.select("case_id", F.col("event_count").alias("__n"))
     met = salted_join(prepared, facts.drop("event_count"), ["case_id"], "post_id", counts=counts)
@@ -467,7 +467,7 @@ def case_features_v1(posts: DataFrame, tags: DataFrame, links: DataFrame) -> Dat
         F.lower(F.coalesce("content", F.lit(""))).alias("lowered"),
     )
     flags = ("urgency", "claim", "denial")
-    prepared = lowered.withColumn("normal", X.normalise_strict(F.col("lowered"))).select(
+    prepared = lowered.withColumn("normal", X.strict_of_lowered(F.col("lowered"))).select(
         "case_id", "post_id", "account_id", "reply_to_post_id", "us",
         F.when(F.col("normal") != "", F.xxhash64("normal")).alias("text_id"),
         *[X.contains_any(F.col("lowered"), MARKERS[m]).alias(m) for m in flags],

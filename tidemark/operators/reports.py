@@ -44,6 +44,12 @@ def with_post_counts(cases: DataFrame, posts: DataFrame) -> DataFrame:
     )
 
 
+def page_with_post_counts(page: DataFrame, posts: DataFrame) -> DataFrame:
+    """Counts for a limited page of cases: its few ids are sent to the posts, so other cases are not counted."""
+    wanted = F.broadcast(page.select("case_id"))
+    return with_post_counts(page, posts.join(wanted, "case_id", "left_semi"))
+
+
 # -- case lists ---------------------------------------------------------------------------------
 
 def case_queue(cases, posts, scores, f: CaseFilter | None = None, only_unscored=False, limit=20, offset=0) -> DataFrame:
@@ -54,7 +60,7 @@ def case_queue(cases, posts, scores, f: CaseFilter | None = None, only_unscored=
     page = base.orderBy(
         F.desc_nulls_last("risk_score"), F.desc_nulls_last("first_event_at"), F.desc("case_id")
     ).offset(max(offset, 0)).limit(limit)
-    return with_post_counts(page, posts)
+    return page_with_post_counts(page, posts)
 
 
 def unscored_cases(cases: DataFrame, scores: DataFrame) -> DataFrame:
@@ -67,7 +73,7 @@ def scored_cases(cases, posts, case_scores, features=None, f: CaseFilter | None
     if features is not None:
         base = base.join(features.select("case_id", "feature_version"), "case_id", "left")
     page = base.orderBy(F.desc("risk_score"), F.desc_nulls_last("first_event_at"), F.desc("case_id")).limit(limit)
-    return with_post_counts(page, posts)
+    return page_with_post_counts(page, posts)
 
 
 def scored_case_table(cases, posts, case_scores, features) -> DataFrame:

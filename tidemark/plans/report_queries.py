@@ -582,5 +582,5 @@ def heavy_queue(t: Tables):
     scores = t.raw("orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").alias("risk_score"))
     page = cases.join(scores, "case_id").orderBy(F.desc("risk_score"), F.desc("case_id")).limit(100)
     posts = t.raw("lineitem").select(F.col("l_orderkey").alias("case_id"))
-    return R.with_post_counts(page, posts).select(
+    return R.page_with_post_counts(page, posts).select(
         "case_id", "status", "event_name", big("post_count").alias("post_count"), F.round("risk_score", 2).alias("risk_score"))

@@ -40,7 +40,8 @@ WITH tw AS (SELECT account_id, count(*)::DOUBLE AS n, 1.0::DOUBLE AS avg_num_has
   avg((kind = 'click')::INT) AS retweet_post_ratio, avg((coalesce(reply_to_post_id, 0) <> 0)::INT) AS reply_post_ratio, count(DISTINCT kind) AS src,
   count(DISTINCT trim(regexp_replace(lower(content), '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+', ' ', 'g'))) AS texts FROM posts GROUP BY 1),
 ag AS (SELECT *, CASE WHEN account_id % 11 <> 0 THEN (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 86400000000.0::DOUBLE END AS age FROM accounts)
-SELECT '' || account_id AS user_id, round(ln(1 + posts_count), 6) AS statuses_count, round(ln(1 + followers_count), 6) AS followers_count,
+SELECT '' || account_id AS user_id, round(ln(1 + following_count), 6) AS friends_count, round(avg_num_urls, 6) AS avg_num_urls,
+  round(avg_num_mentions, 6) AS avg_num_mentions, 1.0::DOUBLE AS hashtag_tweet_ratio, round(avg_num_urls, 6) AS url_tweet_ratio, round(ln(1 + posts_count), 6) AS statuses_count, round(ln(1 + followers_count), 6) AS followers_count,
   round(followers_count / (following_count + 1.0::DOUBLE), 6) AS followers_friends_ratio, CASE WHEN account_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS default_profile,
   is_verified::INT::DOUBLE AS verified, (display_name IS NOT NULL)::INT::DOUBLE AS has_description, 0.0::DOUBLE AS has_url, 1.0::DOUBLE AS has_location,
   round(ln(1 + coalesce(age, (SELECT quantile_cont(age, 0.5) FROM ag))), 6) AS account_age_days, round(ln(1 + n), 6) AS tweet_count,
@@ -49,7 +50,7 @@ SELECT '' || account_id AS user_id, round(ln(1 + posts_count), 6) AS statuses_co
   round(avg_num_mentions, 6) AS mention_tweet_ratio, round(src / n, 6) AS source_diversity, round(1 - texts / n, 6) AS text_duplication_ratio
 FROM ag JOIN tw USING (account_id)"""
 ACCOUNT_COLS = [
-    "statuses_count", "followers_count", "followers_friends_ratio", "default_profile", "verified", "has_description", "has_url", "has_location",
+    "friends_count", "avg_num_urls", "avg_num_mentions", "hashtag_tweet_ratio", "url_tweet_ratio", "statuses_count", "followers_count", "followers_friends_ratio", "default_profile", "verified", "has_description", "has_url", "has_location",
     "account_age_days", "tweet_count", "avg_num_hashtags", "avg_retweet_count", "avg_reply_count", "avg_favorite_count", "avg_text_length",
     "retweet_post_ratio", "reply_post_ratio", "mention_tweet_ratio", "source_diversity", "text_duplication_ratio"]
 
@@ -59,14 +60,15 @@ def account_frame(t: Tables) -> DataFrame:
     return AF.account_features(users, tweets, keep=("subset_name", "label"))
 
 
-@query("m1_account_features", views="posts accounts", sql=ACCOUNT_SQL)
+@query("m1_account_features", views="posts accounts", sql=ACCOUNT_SQL + " ORDER BY 1")
 def m1(t: Tables):
     return account_frame(t).select("user_id", *[r6(c).alias(c) for c in ACCOUNT_COLS])
 
 
-@query("m2_portable_features")
+@query("m2_portable_features", views="posts accounts", sql=ACCOUNT_SQL.replace("\nSELECT '' || account_id", ", feats AS (\nSELECT '' || account_id") + ")"
+       + f" SELECT user_id, {', '.join(AF.feature_columns(AF.PORTABLE))} FROM feats")
 def m2(t: Tables):
-    return account_frame(t).select("user_id", *AF.feature_columns(AF.PORTABLE))
+    return account_frame(t).select("user_id", *[r6(c).alias(c) for c in AF.feature_columns(AF.PORTABLE)])
 
 
 def _rounded(metrics: DataFrame) -> DataFrame:

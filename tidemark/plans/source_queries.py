@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark import schema
-from tidemark.operators import case_features as C, reports as R, upsert as U
+from tidemark.operators import case_features as C, reports as R
 from tidemark.operators.case_text import case_texts
 from tidemark.plans.post_queries import LEX_COLS, lexicon_sql
 from tidemark.plans.registry import big, query, r6, stamp
@@ -339,8 +339,8 @@ def r1(t: Tables):
     folder = land(t, rows.unionByName(rows))
     table = f"{shared_folder(t.spark)}/posts-{uuid.uuid4().hex}"
     stream = J.new_posts(J.landed(t.spark, folder), "60 days")
-    J.run_available(stream, J.into_table(table, J.first_writer_wins), f"{table}-checkpoint")
-    out = U.read_snapshot(t.spark, table)
+    J.run_available(stream, J.append_new(table), f"{table}-checkpoint")
+    out = J.read_table(t.spark, table)
     return out.select("external_id", "account_external_id", F.md5("content").alias("content_md5"), stamp("published_at").alias("published_at"), "likes_count")
 
 
@@ -351,8 +351,8 @@ def r2(t: Tables):
     folder = land(t, statuses(t))
     table = f"{shared_folder(t.spark)}/results-{uuid.uuid4().hex}"
     stream = J.score_posts(live.posts_of(J.landed(t.spark, folder)))
-    J.run_available(stream, J.into_table(table, J.latest_result), f"{table}-checkpoint")
-    return U.read_snapshot(t.spark, table).select("external_id", *LEX_COLS, "escalation_priority")
+    J.run_available(stream, J.append_batch(table), f"{table}-checkpoint")
+    return J.latest_rows(J.read_table(t.spark, table)).select("external_id", *LEX_COLS, "escalation_priority")
 
 
 @query("r3_bursts", views="posts", sql=f"""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M, upsert as U
 from tidemark.plans.registry import big, query, r6, stamp
 from tidemark.plans.tables import SCORERS, Tables
 from tidemark.plans.tables_sql import STAMP
+from tidemark.session import shared_folder
 
 WEIGHTS = {SCORERS[0]: 0.0, SCORERS[1]: 0.35, SCORERS[2]: 0.65}
 
@@ -191,6 +194,18 @@ def e7(t: Tables):
                       "pipeline_hash", "tp", "fp", *[r6(c).alias(c) for c in ("precision_at_10", "roc_auc", "pr_auc")])
 
 
+@query("u11_evaluation_runs", views="cases case_scores", sql="""WITH s AS (SELECT *, (label IN ('rumour', 'rumor'))::INT AS y FROM cases JOIN case_scores USING (case_id) WHERE trim(label) <> '')
+SELECT t.threshold, count(*) AS labeled_cases, sum((risk_score >= t.threshold)::INT * y)::BIGINT AS tp, sum((risk_score >= t.threshold)::INT * (1 - y))::BIGINT AS fp
+FROM s CROSS JOIN (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) t(threshold) GROUP BY 1""")
+def u11(t: Tables):
+    """Two evaluation runs are appended to a run log and read back."""
+    log = f"{shared_folder(t.spark)}/evaluation-runs-{uuid.uuid4().hex}"
+    scored = t.cases().join(t.case_scores(), "case_id")
+    for threshold in (0.25, 0.75):
+        U.append_run(M.evaluation_report(scored, threshold), log)
+    return t.spark.read.parquet(log).select("threshold", "labeled_cases", "tp", "fp")
+
+
 # -- table maintenance ------------------------------------------------------------------------------
 
 HALF = "2024-01-15 12:00:00"

@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing the modules registers them."""
 
 from tidemark.llm.common import QUERIES, SQL  # noqa: F401
-from tidemark.llm import decontaminate, exact_dedup, html_text, line_dedup, pieces, sharding, simhash, toxicity  # noqa: F401
+from tidemark.llm import decontaminate, exact_dedup, html_text, line_dedup, pieces, sharding, simhash, toxicity, warc  # noqa: F401

@@ -70,7 +70,8 @@ class Runs:
 
 def with_batches(lines: DataFrame, batches: int) -> DataFrame:
     """Batch 0 has the largest ids and the last one the smallest and null: the first batch with a hash has its keeper."""
-    cuts = sorted({c for c in lines.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)}, reverse=True)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(lines.agg(F.percentile_approx("id", shares)).first()[0] or []) if shares else [], reverse=True)
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("id") >= F.lit(cut), F.lit(i)).otherwise(batch)

@@ -304,24 +304,40 @@ def violations(t: Tables):
 # -- live payloads and streams ----------------------------------------------------------------------
 
 
-def statuses(t: Tables):
+def statuses(t: Tables, posts=None, tags: str = "kind"):
     c = F.col
     account = F.struct(
         c("account_id").cast("string").alias("id"), F.concat(F.lit("user_"), c("account_id").cast("string")).alias("username"),
         c("likes_count").cast("int").alias("followers_count"), c("reposts_count").cast("int").alias("following_count"))
-    return t.posts().select(
+    return (t.posts() if posts is None else posts).select(
         c("external_id").alias("id"), c("published_at").alias("created_at"), c("content"), c("language"),
         F.concat(F.lit("https://live.example/"), "external_id").alias("url"), account.alias("account"), c("likes_count").cast("int").alias("favourites_count"),
         c("reposts_count").cast("int").alias("reblogs_count"), c("replies_count").cast("int").alias("replies_count"),
-        F.array(F.struct(c("kind").alias("name")), F.struct(F.lit("").alias("name")), F.struct(c("kind").alias("name"))).alias("tags"))
+        F.array(F.struct(c(tags).alias("name")), F.struct(F.lit("").alias("name")), F.struct(c(tags).alias("name"))).alias("tags"))
 
 
-def land(t: Tables, rows) -> str:
-    folder = f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
-    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").json(folder)
+def land(t: Tables, rows, folder: str = "") -> str:
+    folder = folder or f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
+    rows.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").json(folder)
     return folder
 
 
+def streamed(t: Tables, rows, job, at: str):
+    """The rows land, and later one from the far future that closes all windows; what the job has then written."""
+    folder = land(t, rows.where(F.col("created_at").isNotNull()))
+    table = f"{shared_folder(t.spark)}/windows-{uuid.uuid4().hex}"
+
+    def run():
+        posts = live.posts_of(J.landed(t.spark, folder, files_per_batch=1_000_000))
+        posts = posts.withColumn("case_id", F.expr("cast(substring(external_id, 2) as bigint) div 25"))
+        J.run_available(job(posts), J.append_batch(table, at), f"{table}-checkpoint")
+
+    run()
+    land(t, rows.orderBy("id").limit(1).withColumn("created_at", F.lit("2100-01-01 00:00:00").cast("timestamp")), folder)
+    run()
+    return t.spark.read.parquet(table)
+
+
 @query("s15_live_posts", views="posts", sql=f"""
 SELECT external_id, '' || account_id AS account_external_id, md5(content) AS content_md5, strftime(published_at, {S}) AS published_at,
   likes_count::INT AS likes_count, 'https://live.example/' || external_id AS post_url, kind AS tags FROM posts""")
@@ -334,12 +350,15 @@ def s15(t: Tables):
 @query("r1_landed_posts", views="posts", sql=f"""
 SELECT external_id, '' || account_id AS account_external_id, md5(content) AS content_md5, strftime(published_at, {S}) AS published_at, likes_count::INT AS likes_count FROM posts""")
 def r1(t: Tables):
-    """The landed files hold every post twice; the table keeps it once."""
+    """Three batches: the newer half, then the older one, then all once more as of the next day; each post is kept as it first came."""
     rows = statuses(t)
-    folder = land(t, rows.unionByName(rows))
+    middle = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    again = rows.withColumn("created_at", F.col("created_at") + F.expr("interval 1 day")).withColumn("content", F.lit("later"))
     table = f"{shared_folder(t.spark)}/posts-{uuid.uuid4().hex}"
-    stream = J.new_posts(J.landed(t.spark, folder), "60 days")
-    J.run_available(stream, J.append_new(table), f"{table}-checkpoint")
+    folder = ""
+    for batch in (rows.where(F.col("created_at") >= middle), rows.where(F.coalesce(F.col("created_at") < middle, F.lit(True))), again):
+        folder = land(t, batch, folder)
+        J.run_available(J.new_posts(J.landed(t.spark, folder)), J.append_new(table), f"{table}-checkpoint")
     out = J.read_table(t.spark, table)
     return out.select("external_id", "account_external_id", F.md5("content").alias("content_md5"), stamp("published_at").alias("published_at"), "likes_count")
 
@@ -359,7 +378,8 @@ def r2(t: Tables):
 WITH w AS (SELECT case_id, time_bucket(INTERVAL 15 MINUTE, published_at) - to_minutes(15 * CAST(g.i AS INTEGER)) AS s FROM posts CROSS JOIN range(2) g(i))
 SELECT case_id, strftime(s, {S}) AS window_start, strftime(s + INTERVAL 30 MINUTE, {S}) AS window_end, count(*) AS posts FROM w GROUP BY 1, s""")
 def r3(t: Tables):
-    out = J.bursts(t.posts(False), "30 minutes", "15 minutes")
+    rows = statuses(t, t.posts(False).withColumns({"content": F.lit(""), "language": F.lit("")}))
+    out = streamed(t, rows, lambda posts: J.bursts(posts, "30 minutes", "15 minutes"), "window_start")
     return out.select("case_id", stamp("window_start").alias("window_start"), stamp("window_end").alias("window_end"), "posts")
 
 
@@ -367,8 +387,8 @@ def r3(t: Tables):
 WITH h AS (SELECT date_trunc('hour', published_at) AS hour, tag, count(*) AS uses FROM posts JOIN post_tags USING (post_id) GROUP BY 1, 2)
 SELECT strftime(hour, {S}) AS hour, tag, uses, row_number() OVER (PARTITION BY h.hour ORDER BY uses DESC, tag)::INTEGER AS rank FROM h QUALIFY rank <= 3""")
 def r4(t: Tables):
-    tagged = t.posts(False).join(t.post_tags(), "post_id").withColumn("tags", F.array("tag"))
-    out = J.ranked_tags(J.tags_per_hour(tagged.drop("tag")), 3)
+    tagged = t.posts(False).withColumns({"content": F.lit(""), "language": F.lit("")}).join(t.post_tags(), "post_id")
+    out = J.ranked_tags(streamed(t, statuses(t, tagged, "tag"), J.tags_per_hour, "hour"), 3)
     return out.select(stamp("hour").alias("hour"), "tag", "uses", "rank")
 
 

@@ -34,8 +34,11 @@ def load(model: str = MODEL) -> dict:
     ids = range(sp.get_piece_size())
     usual = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
     spelled = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in usual}
+    table = {p[:k]: spelled.get(p[:k]) for p in spelled for k in range(1, len(p) + 1)}  # other beginnings: None
     return {
-        "pieces": {p[:k]: spelled.get(p[:k]) for p in spelled for k in range(1, len(p) + 1)},  # other beginnings: None
+        "pieces": table,
+        "trie": trie_of(table),
+        "alone": {p for p in spelled if len(p) == 1},
         "unknown": min(s for _, s in spelled.values()) - UNKNOWN_PENALTY,
         "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)],
         "text": [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i)
@@ -47,6 +50,15 @@ def load(model: str = MODEL) -> dict:
     }
 
 
+def trie_of(pieces: dict[str, tuple[int, float] | None]) -> dict[str, np.ndarray]:
+    """Beginnings of pieces as numbers: a step is looked up by (number, character) among the sorted steps."""
+    nodes = {p: k for k, p in enumerate(sorted(pieces), 1)}
+    steps = sorted((nodes.get(p[:-1], 0) << 21 | ord(p[-1]), k) for p, k in nodes.items())
+    known = [pieces[p] or (-1, 0.0) for p in nodes]
+    return {"steps": np.array([s for s, _ in steps]), "to": np.array([k for _, k in steps]),
+            "ids": np.array([-1, *[i for i, _ in known]]), "scores": np.array([0.0, *[s for _, s in known]])}
+
+
 END = re.compile(r"\w\W")
 LONG_WORDS = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 WORDS = re.compile(f"\n|{BLANK}*[^{BLANK}\n\\w]*\\w+|{BLANK}*[^{BLANK}\n\\w]+|{BLANK}+")
@@ -144,6 +156,68 @@ def n_best(word: str, n: int, vocabulary: dict) -> list[tuple[float, list[int]]]
     return found
 
 
+#: Words up to this length are segmented together.
+SHORT = 64
+
+
+def best_two_of_all(words: list[str], trie: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """best_two() of many words of known characters at once: ids, their ends by word, scores of the best and second best.
+
+    Pieces are found step by step for all places together; Viterbi goes by the place in the word, for all words together.
+    """
+    sizes = np.array([len(w) for w in words])
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(chars)) - begin[word]
+    start, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+    for length in range(1, SHORT + 1):
+        inside = place[start] + length <= sizes[word[start]]
+        start, node = start[inside], node[inside]
+        step = node << 21 | chars[start + length - 1]
+        at = np.minimum(np.searchsorted(trie["steps"], step), len(trie["steps"]) - 1)
+        there = trie["steps"][at] == step
+        start, node = start[there], trie["to"][at[there]]
+        if not len(start):
+            break
+        spelled = trie["ids"][node] >= 0
+        found.append((start[spelled], np.full(spelled.sum(), length), node[spelled]))
+    start, length, node = (np.concatenate(f) for f in zip(*found))
+    # states: places of all words, one more each; pieces in the order of the place they end at
+    source = start + word[start]
+    target, last = source + length, place[start] + length
+    order = np.lexsort((start, target, last))
+    source, target, last, node, score = source[order], target[order], last[order], node[order], trie["scores"][node[order]]
+    states = len(chars) + len(words)
+    first, second, back = np.full(states, -np.inf), np.full(states, -np.inf), np.zeros(states, np.int64)
+    first[begin + np.arange(len(words))] = 0.0
+    cuts = np.searchsorted(last, np.arange(1, sizes.max() + 2))
+    for low, high in zip(cuts, cuts[1:]):
+        goal = target[low:high]
+        heads = np.flatnonzero(np.concatenate([[True], goal[1:] != goal[:-1]]))
+        group = np.repeat(np.arange(len(heads)), np.diff([*heads, high - low]))
+        reach = first[source[low:high]] + score[low:high]
+        best = np.maximum.reduceat(reach, heads)
+        ties = np.flatnonzero(reach == best[group])
+        chosen = ties[np.concatenate([[True], group[ties][1:] != group[ties][:-1]])]
+        reach[chosen] = -np.inf
+        other = np.maximum.reduceat(np.maximum(reach, second[source[low:high]] + score[low:high]), heads)
+        first[goal[heads]], second[goal[heads]], back[goal[heads]] = best, other, low + chosen
+    end = begin + np.arange(len(words)) + sizes
+    at, left, steps = end.copy(), np.arange(len(words)), []
+    while len(left):
+        piece = back[at[left]]
+        steps.append((left, trie["ids"][node[piece]]))
+        at[left] = source[piece]
+        left = left[at[left] > begin[left] + left]
+    counts = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(words))
+    ends = np.cumsum(counts)
+    ids = np.zeros(ends[-1], np.int32)
+    for k, (which, piece) in enumerate(steps):
+        ids[ends[which] - 1 - k] = piece
+    return ids, ends, first[end], second[end]
+
+
 class Encoder:
     """Best segmentations of whole texts, put together from those of words; words are remembered up to a bound."""
 
@@ -157,7 +231,17 @@ class Encoder:
         self.scores, self.losses = array("d"), array("d")  # of the best one; what the second best one loses
 
     def _learn(self, words: set[str]) -> None:
-        for word in words:
+        alone = self.vocabulary["alone"]
+        usual = [w for w in words if len(w) <= SHORT and alone.issuperset(w)]
+        for low in range(0, len(usual), 20_000):
+            part = usual[low:low + 20_000]
+            ids, ends, first, second = best_two_of_all(part, self.vocabulary["trie"])
+            self.codes.update(zip(part, range(len(self.codes), len(self.codes) + len(part))))
+            self.ends.extend((ends + len(self.ids)).tolist())
+            self.ids.extend(ids.tolist())
+            self.scores.extend(first.tolist())
+            self.losses.extend((first - second).tolist())
+        for word in words - self.codes.keys():  # long ones, and those with unknown characters
             ids, first, second = best_two(word, self.vocabulary)
             self.codes[word] = len(self.codes)
             self.ids.extend(ids)
@@ -170,7 +254,7 @@ class Encoder:
         cut = [words_of(text, self.vocabulary) for text in texts]
         if len(self.codes) > REMEMBERED:
             self._forget()
-        self._learn({word for words in cut for word in words} - self.codes.keys())
+        self._learn(set().union(*cut) - self.codes.keys())
         ids, ends = np.array(self.ids), np.array(self.ends)
         scores, losses = np.array(self.scores), np.array(self.losses)
         for words in cut:
@@ -229,10 +313,15 @@ def decoder(spark: SparkSession, vocabulary: dict):
 
     @F.arrow_udf(StringType())
     def decode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spell = shared.value.__getitem__
+        spelled = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            texts = [b"".join(map(spell, batch[k].values.to_pylist() if batch[k].is_valid else [])) for k in range(len(batch))]
-            yield pa.array([t[1:].decode("utf-8", "replace") for t in texts], pa.string())  # without the blank in front
+            counts = batch.value_lengths().fill_null(0).to_numpy()
+            data = spelled.take(batch.flatten())
+            _, offsets, joined = data.buffers()
+            places = np.frombuffer(offsets, np.int64)[data.offset + np.concatenate([[0], np.cumsum(counts)])] if len(data) else np.zeros(len(counts) + 1, int)
+            text = joined.to_pybytes() if len(data) else b""
+            # without the blank in front
+            yield pa.array([text[a:b][1:].decode("utf-8", "replace") for a, b in zip(places, places[1:])], pa.string())
 
     return decode_batches
 

@@ -26,6 +26,16 @@ def test_salted_join_equals_join(spark):
         assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
 
 
+def test_rows_with_null_keys_stay_where_they_are(spark):
+    left = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("k"))
+    right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    salted = salted_join(left, right, ["k"], "id", "left", rows_per_salt=50)
+    plain = left.join(right, "k", "left").select(*salted.columns)
+    assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+    per_task = salted.where("k is null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task <= 1000  # of 3600
+
+
 def test_totals_before_equals_window(spark):
     df = rows(spark).where("k is not null").withColumn("bucket", F.floor(F.col("v") / 10))
     w = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, -1)

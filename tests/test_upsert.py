@@ -39,14 +39,7 @@ def test_history_counts(spark):
     assert {r.tag: (r.today_accounts, r.today_uses) for r in U.with_today(df).collect()} == {"a": (12, 7), "b": (0, 0), "c": (0, -3), "d": (0, 0)}
 
 
-def test_snapshots_keep_what_is_read(spark, tmp_path):
-    table = str(tmp_path / "t")
-    with pytest.raises(FileNotFoundError):
-        U.read_snapshot(spark, table)
-    U.write_snapshot(spark.range(3), table)
-    first = U.read_snapshot(spark, table)
-    U.write_snapshot(first.where("id > 0"), table)
-    assert U.read_snapshot(spark, table).count() == 2 and first.count() == 3
+def test_runs_are_added(spark, tmp_path):
     U.append_run(spark.range(1), str(tmp_path / "runs"))
     U.append_run(spark.range(1), str(tmp_path / "runs"))
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
@@ -57,6 +50,8 @@ def test_decisions_are_checked(spark):
     rows = [(1, "suspicious", A), (1, " ", B), (2, "finalized", A)]
     got = {r.case_id: r.decision for r in U.apply_decisions(cases, spark.createDataFrame(rows, "case_id bigint, decision string, recorded_at timestamp")).collect()}
     assert got == {1: "unclear", 2: None}
+    refused = U.refused_decisions(spark.createDataFrame(rows, "case_id bigint, decision string, recorded_at timestamp"))
+    assert [tuple(r) for r in refused.collect()] == [("2", "decision is not allowed", "finalized")]
 
 
 def test_replies_find_parents_that_come_later(spark):

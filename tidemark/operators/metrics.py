@@ -177,10 +177,10 @@ def model_comparison(items: DataFrame) -> DataFrame:
 
 def top_compared_cases(items: DataFrame, ranking_key: str, top_k: int = 20) -> DataFrame:
     """Best cases of one scorer with what every scorer says about them."""
-    top_k = 20 if top_k <= 0 else min(top_k, 100)
+    top_k = 20 if top_k <= 0 else top_k
     best = items.where(F.col(KEY) == ranking_key).orderBy(F.desc("score"), F.asc("case_id")).limit(top_k).select(
         "case_id", "external_case_id", "event_name", "label", F.col("score").alias("ranking_score"))
-    others = items.select("case_id", KEY, "score").join(F.broadcast(best), "case_id")
+    others = items.select("case_id", KEY, "score").join(best, "case_id")
     return others.groupBy("case_id", "external_case_id", "event_name", "label", "ranking_score").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(KEY, "score")))).alias("component_scores"))
 

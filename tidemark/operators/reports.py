@@ -45,15 +45,15 @@ def with_post_counts(cases: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def page_with_post_counts(page: DataFrame, posts: DataFrame) -> DataFrame:
-    """Counts for a limited page of cases: its few ids are sent to the posts, so other cases are not counted."""
-    wanted = F.broadcast(page.select("case_id"))
+    """Counts for a limited page of cases: other cases are not counted. Spark sends the ids to the posts if they are few."""
+    wanted = page.select("case_id")
     return with_post_counts(page, posts.join(wanted, "case_id", "left_semi"))
 
 
 # -- case lists ---------------------------------------------------------------------------------
 
 def case_queue(cases, posts, scores, f: CaseFilter | None = None, only_unscored=False, limit=20, offset=0) -> DataFrame:
-    limit = 20 if limit <= 0 else min(limit, 500)
+    limit = 20 if limit <= 0 else limit
     base = scored_base(cases, scores, f)
     if only_unscored:
         base = base.where(F.col("risk_score").isNull())
@@ -68,7 +68,7 @@ def unscored_cases(cases: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def scored_cases(cases, posts, case_scores, features=None, f: CaseFilter | None = None, limit=100) -> DataFrame:
-    limit = 100 if limit <= 0 else min(limit, 10_000)
+    limit = 100 if limit <= 0 else limit
     base = apply_case_filter(cases, f or CaseFilter()).join(case_scores, "case_id")
     if features is not None:
         base = base.join(features.select("case_id", "feature_version"), "case_id", "left")
@@ -84,7 +84,7 @@ def scored_case_table(cases, posts, case_scores, features) -> DataFrame:
 
 def scoring_worklist(cases, case_scores, model_scores, missing_keys: list[str] | None = None, limit=20) -> DataFrame:
     """Oldest cases without an active score, or lacking any of the given scorers."""
-    limit = 20 if limit <= 0 else min(limit, 500)
+    limit = 20 if limit <= 0 else limit
     keys = sorted({k.strip() for k in missing_keys or [] if k.strip()})
     todo = missing_any_scorer(cases, model_scores, keys) if keys else unscored_cases(cases, case_scores)
     return todo.orderBy(F.asc_nulls_last("first_event_at"), F.asc("case_id")).limit(limit)
@@ -302,19 +302,19 @@ def recent_evidence(base: DataFrame, posts: DataFrame, results: DataFrame, limit
         F.desc("manipulation_score"), F.desc("created_at"), F.asc("post_id")
     ).limit(limit)
     titles = base.select("case_id", display_title().alias("case_title"))
-    return top.join(F.broadcast(top_cases(titles, top)), "case_id")
+    return top.join(top_cases(titles, top), "case_id")
 
 
 def top_cases(cases: DataFrame, few: DataFrame) -> DataFrame:
     """The rows of `cases` named by a limited result; at most its limit."""
-    return cases.join(F.broadcast(few.select("case_id").distinct()), "case_id", "left_semi")
+    return cases.join(few.select("case_id").distinct(), "case_id", "left_semi")
 
 
 def top_results(posts: DataFrame, accounts: DataFrame, results: DataFrame, limit=20) -> DataFrame:
     """The limit comes before the joins with content and author: both are 1:1."""
-    top = F.broadcast(results.orderBy(F.desc("manipulation_score"), F.asc("post_id")).limit(limit))
+    top = results.orderBy(F.desc("manipulation_score"), F.asc("post_id")).limit(limit)
     rows = posts.join(top, "post_id")
-    return accounts.select("account_id", "username", "display_name").join(F.broadcast(rows), "account_id")
+    return accounts.select("account_id", "username", "display_name").join(rows, "account_id")
 
 
 def runs_with_counts(runs: DataFrame, posts: DataFrame, limit=20) -> DataFrame:
@@ -384,7 +384,7 @@ def account_leaderboard(
 
 
 def leaderboard_page(board: DataFrame, sort: str = "engagement", limit=50, offset=0) -> DataFrame:
-    limit = 50 if limit <= 0 else min(limit, 200)
+    limit = 50 if limit <= 0 else limit
     keys = LEADERBOARD_SORTS.get(sort, LEADERBOARD_SORTS["engagement"])
     return board.orderBy(*[F.desc_nulls_last(k) for k in keys], F.asc("account_id")).offset(max(offset, 0)).limit(limit)
 
@@ -407,8 +407,10 @@ def account_recent_results(newest: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def newest_posts(posts: DataFrame, per_account: int) -> DataFrame:
-    """Row-number filter: the limit is applied on each map task before the shuffle."""
+def newest_posts(posts: DataFrame, per_account: int | None = None) -> DataFrame:
+    """All posts, or the newest of each account by a row-number filter, which works on each map task before the shuffle."""
+    if per_account is None:
+        return posts
     w = Window.partitionBy("account_id").orderBy(F.desc("published_at"), F.desc("post_id"))
     return posts.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= per_account)
 

@@ -6,16 +6,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# A key is hot when it holds more than this many rows and more than 1/MAX_HOT_KEYS of all rows.
+# A key is hot when it holds more rows than one task should take and more than 1/MAX_HOT_KEYS of all rows.
 ROWS_PER_SALT = 200_000
-MAX_HOT_KEYS = 1_000
+MAX_HOT_KEYS = 100_000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """keys + __salts for hot keys only.
 
-    A hot key holds more than 1/MAX_HOT_KEYS of the total, so there are fewer than
-    MAX_HOT_KEYS of them whatever the data size: the result may be broadcast.
+    Fewer than MAX_HOT_KEYS keys can hold more than 1/MAX_HOT_KEYS of the total, so the result is a few MB whatever
+    the size of the data and may be broadcast. A key that is not hot has rows_per_salt rows at most below 2 * 10**10
+    rows in all, and ten million at 10**12.
     """
     total = counts.agg(F.sum(n).cast("double")).scalar()
     share = F.greatest(F.lit(float(rows_per_salt)), F.coalesce(total, F.lit(0.0)) / MAX_HOT_KEYS)
@@ -39,15 +40,16 @@ def salted_join(
     """Join a large `left` whose keys may be hot with a `right` that has few rows per key.
 
     Hot keys are cut into salts by a hash of `spread`, a column of `left` (a hash,
-    not a random number, so that a recomputed task sends rows to the same place).
+    not a random number, so that a recomputed task sends rows to the same place). Rows with a null key
+    have no partner: a left join keeps them where they are.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     if counts is None:
-        counts = left.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])) \
-            .groupBy(*keys).agg(F.count("*").alias(n))
+        counts = left.where(keyed).groupBy(*keys).agg(F.count("*").alias(n))
     hot = F.broadcast(hot_keys(counts, keys, n, rows_per_salt))
-    salted_left = left.join(hot, keys, "left").withColumn(
+    salted_left = left.where(keyed).join(hot, keys, "left").withColumn(
         "__salt",
         F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(spread), F.col("__salts").cast("long")).cast("int")
@@ -56,7 +58,10 @@ def salted_join(
     salted_right = right.join(hot, keys, "left").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
     ).drop("__salts")
-    return salted_left.join(salted_right, keys + ["__salt"], how).drop("__salt")
+    joined = salted_left.join(salted_right, keys + ["__salt"], how).drop("__salt")
+    if how == "inner" or not any(left.schema[k].nullable for k in keys):
+        return joined
+    return joined.unionByName(left.where(~keyed), allowMissingColumns=True)
 
 
 def totals_before(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from tidemark.operators.skew import salted_join
+from tidemark.schema import violations
 
 # What a column becomes when the key exists already:
 #   new      the batch wins                     old      the base wins
@@ -159,52 +160,29 @@ DECISIONS = ("open", "suspicious", "not_suspicious", "unclear")  # fixed values
 
 
 def apply_decisions(cases: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The last decision of every case as a column of its own; blank means unclear, others are refused."""
-    clean = F.trim(F.coalesce("decision", F.lit("")))
-    checked = decisions.withColumn("decision", F.when(clean == "", "unclear").otherwise(clean)).where(F.col("decision").isin(*DECISIONS))
-    last = checked.groupBy("case_id").agg(F.max_by("decision", "recorded_at").alias("decision"))
+    """The last decision of every case as a column of its own; blank means unclear. `refused_decisions` has the others."""
+    last = _read_decisions(decisions).where(F.col("decision").isin(*DECISIONS))
+    last = last.groupBy("case_id").agg(F.max_by("decision", "recorded_at").alias("decision"))
     return cases.join(last, "case_id", "left")
 
 
-def resolve_replies(posts: DataFrame) -> DataFrame:
-    """Parent ids of replies by the parent's external id within the source, wherever the parent is in the batch."""
-    from tidemark.operators.skew import salted_join
-
-    parents = posts.select("source_id", F.col("external_id").alias("reply_to_external_id"), F.col("post_id").alias("reply_to_post_id"))
-    return salted_join(posts.drop("reply_to_post_id"), parents, ["source_id", "reply_to_external_id"], "post_id", "left")
-
-
-# -- snapshots ------------------------------------------------------------------------------------
-
-
-def write_snapshot(df: DataFrame, table: str) -> str:
-    """Write a new version of a table folder; a path that is being read is never overwritten."""
-    path = f"{table.rstrip('/')}/version={_next_version(df.sparkSession, table):08d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return path
+def _read_decisions(decisions: DataFrame) -> DataFrame:
+    clean = F.trim(F.coalesce("decision", F.lit("")))
+    return decisions.withColumn("decision", F.when(clean == "", "unclear").otherwise(clean))
 
 
-def _versions(spark: SparkSession, table: str) -> list[str]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(table)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("version=")]
-    done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(p.getName() for p in done)
+def refused_decisions(decisions: DataFrame) -> DataFrame:
+    """Decisions that are not in the list, as rows (key, rule, value)."""
+    return violations(_read_decisions(decisions), "case_id", {"decision": list(DECISIONS)})
 
 
-def _next_version(spark: SparkSession, table: str) -> int:
-    names = _versions(spark, table)
-    return int(names[-1].split("=")[1].split("-")[0]) + 1 if names else 1
+def resolve_replies(posts: DataFrame) -> DataFrame:
+    """Parent ids of replies by the parent's external id within the source, wherever the parent is in the batch."""
+    parents = posts.select("source_id", F.col("external_id").alias("reply_to_external_id"), F.col("post_id").alias("reply_to_post_id"))
+    return salted_join(posts.drop("reply_to_post_id"), parents, ["source_id", "reply_to_external_id"], "post_id", "left")
 
 
-def read_snapshot(spark: SparkSession, table: str) -> DataFrame:
-    names = _versions(spark, table)
-    if not names:
-        raise FileNotFoundError(f"no finished version in {table}")
-    return spark.read.parquet(f"{table.rstrip('/')}/{names[-1]}")
+# -- runs ------------------------------------------------------------------------------------------
 
 
 def append_run(df: DataFrame, table: str) -> None:

@@ -392,10 +392,19 @@ def u10(t: Tables):
 WITH d AS (SELECT case_id, arg_max(CASE kind WHEN 'purchase' THEN 'suspicious' WHEN 'click' THEN 'not_suspicious' ELSE 'unclear' END, published_at) AS decision
   FROM posts WHERE kind IN ('purchase', 'click', 'view') GROUP BY 1) SELECT case_id, status, decision FROM cases LEFT JOIN d USING (case_id)""")
 def u12(t: Tables):
+    return U.apply_decisions(t.cases(), recorded_decisions(t)).select("case_id", "status", "decision")
+
+
+@query("u12_refused_decisions", views="posts", sql="""
+SELECT '' || case_id AS key, 'decision is not allowed' AS rule, 'looks odd' AS value FROM posts WHERE kind NOT IN ('purchase', 'click', 'view')""")
+def u12_refused(t: Tables):
+    return U.refused_decisions(recorded_decisions(t))
+
+
+def recorded_decisions(t: Tables):
     decision = F.when(F.col("kind") == "purchase", "suspicious").when(F.col("kind") == "click", " not_suspicious").when(
         F.col("kind") == "view", "").otherwise("looks odd")
-    rows = t.posts(False).select("case_id", decision.alias("decision"), F.col("published_at").alias("recorded_at"))
-    return U.apply_decisions(t.cases(), rows).select("case_id", "status", "decision")
+    return t.posts(False).select("case_id", decision.alias("decision"), F.col("published_at").alias("recorded_at"))
 
 
 @query("j8_resolved_replies", views="posts", sql="SELECT post_id, reply_to_post_id FROM posts")

@@ -7,15 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators import account_features as AF, case_features as C, metrics as M, models as L
 from tidemark.operators.case_text import case_texts
 from tidemark.operators.filters import not_blank, where_equal
-from tidemark.plans.post_queries import AS_OF as POST_AS_OF
 from tidemark.plans.registry import query, r6
 from tidemark.plans.source_queries import AS_OF, account_dataset, comment_rows, labelled_rows
 from tidemark.plans.tables import Tables
 from tidemark.session import staged
 from tidemark.sources import labelled as B
 
-assert POST_AS_OF  # both blocks pin their clock
-
 
 def training_slice(cases: DataFrame, features: DataFrame, case_scores: DataFrame, **where: str) -> DataFrame:
     """Labelled cases of a slice with features and active component scores; label is 1 for a positive one."""
@@ -26,12 +23,21 @@ def training_slice(cases: DataFrame, features: DataFrame, case_scores: DataFrame
 
 
 def case_frame(t: Tables) -> DataFrame:
-    """Features of all labelled cases, written once: every fit reads them again."""
+    """Features of all cases, written once as every fit reads them again; the label is null where there is none."""
     features = C.case_features(t.posts(), t.post_tags(), t.post_links())
-    labelled = t.cases().where(not_blank("label")).select("case_id", "event_name", "event_group", M.is_positive(F.col("label")).cast("int").alias("label"))
-    return staged(features.join(labelled, "case_id"), "case-features")
+    return staged(features.join(labels_of(t), "case_id"), "case-features")
+
+
+def labels_of(t: Tables) -> DataFrame:
+    label = F.when(not_blank("label"), M.is_positive(F.col("label")).cast("int"))
+    return t.cases().select("case_id", "event_name", label.alias("label"))
 
 
+def labelled(frame: DataFrame) -> DataFrame:
+    return frame.where(F.col("label").isNotNull())
+
+
+VOCABULARY = 20_000  # terms of the published text models
 NUMERIC = [c for c in C.MODEL_FEATURES if c not in C.BOT_FEATURES]
 
 ACCOUNT_SQL = rf"""
@@ -100,14 +106,14 @@ def m5(t: Tables):
 
 @query("m6_leave_one_event_out")
 def m6(t: Tables):
-    out = L.leave_one_out(case_frame(t), NUMERIC, "event_group")
-    items = out.select("event_group", F.lit("case_logreg_oof").alias("scorer_key"), "case_id", F.col("label").alias("y"), F.col("oof_probability").alias("score"))
-    return _rounded(M.fold_metrics(items, "event_group"))
+    out = L.leave_one_out(labelled(case_frame(t)), NUMERIC)
+    items = out.select("event_name", F.lit("case_logreg_oof").alias("scorer_key"), "case_id", F.col("label").alias("y"), F.col("oof_probability").alias("score"))
+    return _rounded(M.fold_metrics(items))
 
 
 @query("m7_boosted_importances")
 def m7(t: Tables):
-    frame = case_frame(t)
+    frame = labelled(case_frame(t))
     model = L.train(frame, L.usable(frame, NUMERIC), "boosted")
     rows = [(n, float(v)) for n, v in L.importances(model)]  # one per feature column
     return t.spark.createDataFrame(rows, "feature string, importance double")
@@ -115,7 +121,7 @@ def m7(t: Tables):
 
 @query("m7_forest_out_of_fold")
 def m7_forest(t: Tables):
-    out = L.leave_one_out(case_frame(t), NUMERIC, "event_group", "forest")
+    out = L.leave_one_out(labelled(case_frame(t)), NUMERIC, kind="forest")
     items = out.select(F.lit("case_forest_oof").alias("scorer_key"), "case_id", F.col("label").alias("y"), F.col("oof_probability").alias("score"))
     return _rounded(M.model_metrics(items, M.GRID_MID, tied_scores=True))
 
@@ -123,7 +129,8 @@ def m7_forest(t: Tables):
 @query("m8_trained_case_scores")
 def m8(t: Tables):
     frame = case_frame(t)
-    return L.trained_case_scores(L.train(frame, L.usable(frame, NUMERIC)), frame)
+    seen = labelled(frame)
+    return L.trained_case_scores(L.train(seen, L.usable(seen, NUMERIC)), frame)
 
 
 @query("m9_title_classifier")
@@ -133,14 +140,14 @@ def m9(t: Tables):
 
 @query("m9_title_and_comments_classifier")
 def m9_comments(t: Tables):
-    posts = B.attach_comments(labelled_rows(t), B.top_comments(comment_rows(t), labelled_rows(t), 5))
+    posts = B.attach_comments(labelled_rows(t), B.top_comments(comment_rows(t), labelled_rows(t)))
     return _text_quality(posts, "text_with_comments")
 
 
 def _text_quality(posts: DataFrame, text: str) -> DataFrame:
     frame = staged(posts.select("id", "label", text), "texts")
     seen, unseen = L.split(frame, "id")
-    model = L.TextModel.fit(seen, text)
+    model = L.TextModel.fit(seen, text, VOCABULARY)
     return _rounded(M.text_metrics(L.as_items(model.predict(unseen), "id")))
 
 
@@ -153,7 +160,5 @@ def m11(t: Tables):
 
 @query("m12_text_case_scores")
 def m12(t: Tables):
-    texts = case_texts(t.posts(), t.cases()).join(
-        t.cases().where(not_blank("label")).select("case_id", M.is_positive(F.col("label")).cast("int").alias("label")), "case_id")
-    frame = staged(texts, "case-texts")
-    return L.text_case_scores(L.TextModel.fit(frame), frame)
+    frame = staged(case_texts(t.posts(), t.cases()).join(labels_of(t), "case_id"), "case-texts")
+    return L.text_case_scores(L.TextModel.fit(labelled(frame), max_features=VOCABULARY), frame)

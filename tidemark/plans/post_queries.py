@@ -12,6 +12,7 @@ from tidemark.plans.registry import query, r6
 from tidemark.plans.tables import Tables
 
 AS_OF = "2024-01-31 00:00:00"
+NEWEST, CHECKED, KEPT = 50, 50, 100  # what one analysis looks at: posts of an account, comments of a post
 
 
 def as_of():
@@ -129,7 +130,7 @@ behaviour AS (SELECT account_id, (n > 1 AND gap < 0.5) OR dup > 0.3 OR night > 0
 
 @query("t5_account_behaviour", views="posts", sql="WITH " + BEHAVIOUR_SQL.strip() + " SELECT * FROM behaviour")
 def t5(t: Tables):
-    return P.account_behaviour(t.posts())
+    return P.account_behaviour(t.posts(), NEWEST)
 
 
 FACTOR_SQL = f"""
@@ -164,7 +165,7 @@ comments AS (SELECT parent AS post_id, count(*) AS total_comments, count(*) FILT
 
 @query("t8_comment_manipulation", views="posts", sql="WITH " + COMMENT_SQL.strip() + " SELECT * FROM comments")
 def t8(t: Tables):
-    return P.comment_manipulation(t.posts())
+    return P.comment_manipulation(t.posts(), CHECKED, KEPT)
 
 
 def stored_coordination(t: Tables):
@@ -201,7 +202,7 @@ SELECT post_id, account_id, {x3('ms')} AS manipulation_score, {x3('cf')} AS conf
    '🎯 Слабовыраженные признаки') AS tactics,
   CASE WHEN ms > 0.8 THEN 1 WHEN ms > 0.6 THEN 2 WHEN ms > 0.4 OR coordinated THEN 3 ELSE 4 END AS advice FROM m""")
 def t10(t: Tables):
-    out = P.composite_scores(t.posts(), t.accounts(), as_of(), stored_coordination(t))
+    out = P.composite_scores(t.posts(), t.accounts(), as_of(), stored_coordination(t), NEWEST, CHECKED, KEPT)
     mark = F.substring("recommendation", 1, 1)
     return out.select(
         "post_id", "account_id", "manipulation_score", "confidence_score", "escalation_priority", "coordination_contribution",
@@ -225,7 +226,7 @@ def t6(t: Tables):
 def t10_full(t: Tables):
     posts = t.posts()
     network = S.coordination_network(S.similar_posts(posts), t.posts(False))
-    out = P.composite_scores(posts, t.accounts(), as_of(), network)
+    out = P.composite_scores(posts, t.accounts(), as_of(), network, NEWEST, CHECKED, KEPT)
     return out.drop("key_evidence", "tactics")
 
 

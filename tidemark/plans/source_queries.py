@@ -225,13 +225,13 @@ def s10(t: Tables):
 
 @query("w9_top_comments", sql=f"WITH {LABELLED}, {COMMENTS} SELECT id, rank::INTEGER AS rank, ups, body FROM c1 WHERE rank <= 3")
 def w9(t: Tables):
-    return B.top_comments(comment_rows(t), labelled_rows(t), 3).select("id", "rank", "ups", "body")
+    return B.top_comments(comment_rows(t), labelled_rows(t), 3, 220).select("id", "rank", "ups", "body")
 
 
 @query("w9_text_with_comments", sql=f"""WITH {LABELLED}, {COMMENTS}, j AS (SELECT id, string_agg(body, ' ' ORDER BY rank) AS b, count(*) AS n FROM c1 WHERE rank <= 3 GROUP BY 1)
 SELECT id, md5(CASE WHEN b <> '' THEN text || ' [COMMENTS] ' || b ELSE text END) AS text_md5, coalesce(n, 0) AS comment_count_used FROM posts LEFT JOIN j USING (id)""")
 def w9_text(t: Tables):
-    out = B.attach_comments(labelled_rows(t), B.top_comments(comment_rows(t), labelled_rows(t), 3))
+    out = B.attach_comments(labelled_rows(t), B.top_comments(comment_rows(t), labelled_rows(t), 3, 220))
     return out.select("id", F.md5("text_with_comments").alias("text_md5"), big("comment_count_used").alias("comment_count_used"))
 
 
@@ -239,7 +239,7 @@ def w9_text(t: Tables):
 SELECT label_raw, count(*) AS rows, sum(label)::BIGINT AS positive_rows, round(avg(label), 6) AS positive_rate, count(DISTINCT subreddit) AS subreddit_count,
   round(avg((coalesce(n, 0) > 0)::INT), 6) AS comment_coverage_rate, round(avg(coalesce(n, 0)), 6) AS mean_comment_count_used FROM posts LEFT JOIN j USING (id) GROUP BY 1""")
 def a23(t: Tables):
-    posts = B.attach_comments(labelled_rows(t), B.top_comments(comment_rows(t), labelled_rows(t), 3))
+    posts = B.attach_comments(labelled_rows(t), B.top_comments(comment_rows(t), labelled_rows(t), 3, 220))
     out = B.summary_of(posts, "label_raw")
     return out.select("label_raw", "rows", "positive_rows", "subreddit_count", *[r6(c).alias(c) for c in ("positive_rate", "comment_coverage_rate", "mean_comment_count_used")])
 
@@ -404,7 +404,7 @@ l AS (SELECT case_id, string_agg(cut, ' ' ORDER BY rn) AS b, count(*) AS n, sum(
 SELECT case_id, coalesce(n, 0) AS reaction_count, coalesce(ch, 0) AS reaction_chars,
   md5(CASE WHEN n > 0 THEN 'Root tweet: ' || root || ' Reactions: ' || b ELSE 'Root tweet: ' || root END) AS text_md5 FROM r LEFT JOIN l USING (case_id)""")
 def w10(t: Tables):
-    out = case_texts(t.posts(), t.cases())
+    out = case_texts(t.posts(), t.cases(), 8, 220)  # what the text models of the published figures read
     return out.select("case_id", "reaction_count", "reaction_chars", F.md5("text").alias("text_md5"))
 
 

@@ -30,18 +30,21 @@ def labelled_posts(rows: DataFrame, positive_label: int = 0) -> DataFrame:
     return out.withColumn("label", (F.col("label_raw") == positive_label).cast("int")).drop("clean_title", "title", "2_way_label")
 
 
-def top_comments(comments: DataFrame, posts: DataFrame, k: int = 5, max_chars: int = 220) -> DataFrame:
-    """The k highest voted comments of each wanted post, with spaces collapsed and cut to `max_chars`.
+def top_comments(comments: DataFrame, posts: DataFrame, k: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Comments of each wanted post by votes, with spaces collapsed: all of them or the first k, whole or cut to `max_chars`.
 
     Votes that are no number count as 0. The row-number filter works before the shuffle.
     """
     body = collapse_spaces(F.coalesce("body", F.lit("")))
     own = comments.select(
         F.trim("submission_id").alias("id"), F.coalesce(F.col("ups").try_cast("double"), F.lit(0.0)).alias("ups"), body.alias("body"),
-    ).where(F.col("body") != "").withColumn("body", F.substring("body", 1, max_chars))
+    ).where(F.col("body") != "")
+    if max_chars is not None:
+        own = own.withColumn("body", F.substring("body", 1, max_chars))
     own = own.join(posts.select("id"), "id", "left_semi")
     w = Window.partitionBy("id").orderBy(F.desc("ups"), F.asc("body"))
-    return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = own.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def attach_comments(posts: DataFrame, top: DataFrame) -> DataFrame:

@@ -211,12 +211,35 @@ def t10(t: Tables):
         F.when(mark == "🔴", 1).when(mark == "🟠", 2).when(mark == "🟡", 3).otherwise(4).alias("advice"))
 
 
-@query("j13_similar_posts")
+SIMILAR_SQL = r"""
+own AS (SELECT post_id, content, min(post_id) OVER (PARTITION BY content) AS text_id FROM posts WHERE coalesce(content, '') <> ''),
+copies AS (SELECT text_id, count(*) AS n FROM own GROUP BY 1),
+ws AS (SELECT post_id AS text_id, regexp_extract_all(lower(content), '[\p{L}\p{M}\p{N}_]{2,}') AS w FROM own WHERE post_id = text_id),
+grams AS (SELECT text_id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS term FROM ws),
+counts AS (SELECT text_id, term, count(*) AS uses FROM grams GROUP BY 1, 2),
+seen AS (SELECT term, sum(n) AS df FROM counts JOIN copies USING (text_id) GROUP BY 1),
+weighted AS (SELECT text_id, term, df, uses * (ln((1.0::DOUBLE + (SELECT sum(n) FROM copies)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS raw FROM counts JOIN seen USING (term)),
+norms AS (SELECT text_id, sqrt(sum(raw * raw)) AS norm FROM weighted GROUP BY 1),
+vectors AS MATERIALIZED (SELECT text_id, term, df, raw / norm AS w FROM weighted JOIN norms USING (text_id)),
+ahead AS MATERIALIZED (SELECT text_id, term FROM (SELECT text_id, term, sum(w * w) OVER (PARTITION BY text_id ORDER BY df DESC, term DESC ROWS UNBOUNDED PRECEDING) AS rest FROM vectors)
+  WHERE rest >= 0.7::DOUBLE * 0.7::DOUBLE - 1e-9),
+pairs AS (SELECT DISTINCT x.text_id AS a, y.text_id AS b FROM ahead x JOIN ahead y USING (term) WHERE x.text_id < y.text_id),
+close AS (SELECT a, b, round(sum(x.w * y.w), 6) AS similarity FROM pairs JOIN vectors x ON x.text_id = a JOIN vectors y ON y.text_id = b AND y.term = x.term
+  GROUP BY 1, 2 HAVING round(sum(x.w * y.w), 6) > 0.7),
+alike AS (SELECT a AS text_id, b AS other, similarity FROM close UNION ALL SELECT b, a, similarity FROM close UNION ALL SELECT text_id, text_id, 1.0::DOUBLE FROM copies),
+similar_posts AS (SELECT p.post_id AS post_id, o.post_id AS similar_post_id, similarity,
+  row_number() OVER (PARTITION BY p.post_id ORDER BY similarity DESC, o.post_id DESC)::INTEGER AS rank
+  FROM own p JOIN alike USING (text_id) JOIN own o ON o.text_id = other WHERE p.post_id <> o.post_id QUALIFY rank <= 10)"""
+
+
+@query("j13_similar_posts", views="posts", sql="WITH " + SIMILAR_SQL.strip() + " SELECT * FROM similar_posts")
 def j13(t: Tables):
-    return S.similar_posts(t.posts()).withColumn("similarity", r6("similarity"))
+    return S.similar_posts(t.posts())
 
 
-@query("t6_coordination_network")
+@query("t6_coordination_network", views="posts", sql="WITH " + SIMILAR_SQL.strip() + """
+SELECT s.post_id AS post_id, count(*) AS similar_count, count(DISTINCT account_id) AS unique_accounts, count(DISTINCT account_id) >= 3 AND count(*) >= 5 AS coordinated
+FROM similar_posts s JOIN posts p ON p.post_id = s.similar_post_id GROUP BY 1""")
 def t6(t: Tables):
     posts = t.posts()
     return S.coordination_network(S.similar_posts(posts), t.posts(False))

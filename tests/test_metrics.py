@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ def test_perfect_ranking(spark):
     assert 0.21 <= m.best_threshold <= 0.95
 
 
+def test_saturated_scores_spread_over_cells(spark):
+    rng = random.Random(3)
+    near = [10.0 ** -rng.uniform(5, 12) for _ in range(400)]
+    scores = [*near, *[1 - x for x in near], 0.0, 1.0, 0.5, *[rng.random() for _ in range(400)]]
+    rows = [(i, "rumour" if rng.random() < 0.2 + 0.6 * s else "x", s) for i, s in enumerate(scores)]
+    df = items(spark, rows)
+    cells = df.select("score", M._grid(F.col("score")).alias("g")).orderBy("score").collect()
+    assert all(a.g <= b.g for a, b in zip(cells, cells[1:]))
+    assert len({c.g for c in cells if c.score < 1 / 65_536}) > 300 and len({c.g for c in cells if c.score > 1 - 1 / 65_536}) > 300
+    ys = [(s, int(label == "rumour")) for _, label, s in rows]
+    pos, neg = [s for s, y in ys if y], [s for s, y in ys if not y]
+    auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert M.roc_auc(df).first().roc_auc == pytest.approx(auc, abs=1e-12)
+
+
 def test_k_larger_than_n(spark):
     rows = [(1, "rumour", 0.9), (2, "non_rumour", 0.8), (3, "rumour", 0.7)]
     assert M.precision_at(items(spark, rows), 10).first().precision_at_10 == pytest.approx(2 / 3)

@@ -14,7 +14,8 @@ from tidemark.functions.lexicons import POSITIVE_LABELS
 from tidemark.functions.scores import clamp, fixed, normalise_label, risk_level
 from tidemark.operators.skew import totals_before
 
-GRID = 65_536
+#: Cells of scores between two powers of two, counted from 0 up to 1/2 and from 1 down to it.
+GRID = 16_384
 ID_CHUNK = 1 << 20
 KEY = "scorer_key"
 RANKING_KEY = "case_ensemble_v1"
@@ -33,9 +34,18 @@ def labelled_scores(scores: DataFrame, cases: DataFrame, positive: list[str] | N
     return rows.join(labelled, "case_id").withColumnRenamed("risk_score", "score")
 
 
+def _grid(score: Column) -> Column:
+    """A cell number that never falls as the score grows. Cells are as fine near 0 and 1 as doubles are, so
+    saturated scores spread over many cells."""
+    def from_zero(x):
+        power = F.floor(F.log2(x))
+        return F.when(x > 0, (power + 1_100) * GRID + F.floor((x / F.pow(F.lit(2.0), power) - 1) * GRID)).otherwise(0)
+
+    return F.when(score < 0.5, from_zero(score)).otherwise(2_400 * GRID - from_zero(1 - score))
+
+
 def _cells(items: DataFrame, *more: str) -> DataFrame:
-    grid = F.floor(F.col("score") * GRID).alias("grid")
-    return items.select(KEY, "case_id", "y", "score", grid, *more)
+    return items.select(KEY, "case_id", "y", "score", _grid(F.col("score")).alias("grid"), *more)
 
 
 # -- thresholds -----------------------------------------------------------------------------------

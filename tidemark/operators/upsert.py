@@ -44,6 +44,9 @@ SCORE_RULES = {c: "new" for c in (
     "content_score", "evidence", "pipeline_hash", "source_endpoint", "computed_at")}
 
 
+RUN_RULES = {"source_type": "old", "source_name": "old", "started_at": "old", "status": "new", "finished_at": "known"}
+
+
 def _is_filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
@@ -185,6 +188,17 @@ def resolve_replies(posts: DataFrame) -> DataFrame:
 # -- runs ------------------------------------------------------------------------------------------
 
 
+def start_runs(runs: DataFrame) -> DataFrame:
+    """New ingestion runs: running and without an end."""
+    return runs.withColumns({"status": F.lit("running"), "finished_at": F.lit(None).cast("timestamp")})
+
+
+def finish_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """Runs with the status and time of those that ended (run_id, status, finished_at); others go on."""
+    batch = ended.join(runs.drop("status", "finished_at"), "run_id")
+    return upsert(runs, batch.select(*runs.columns), ["run_id"], RUN_RULES)
+
+
 def append_run(df: DataFrame, table: str) -> None:
     """Evaluation and ingestion runs are only ever added."""
     df.write.mode("append").parquet(table)

@@ -10,6 +10,7 @@ from tidemark.operators import metrics as M, upsert as U
 from tidemark.plans.registry import big, query, r6, stamp
 from tidemark.plans.tables import SCORERS, Tables
 from tidemark.plans.tables_sql import STAMP
+from tidemark.sources.live import trending_tags
 from tidemark.session import shared_folder
 
 WEIGHTS = {SCORERS[0]: 0.0, SCORERS[1]: 0.35, SCORERS[2]: 0.65}
@@ -347,16 +348,50 @@ def u6(t: Tables):
     return U.replace_children(t.post_tags(), twice, new, "tag")
 
 
-@query("u7_trending_counts", views="posts post_tags", sql="""
+@query("u6_replaced_links", views="posts post_links", sql=f"""
+SELECT post_id, url FROM post_links JOIN posts USING (post_id) WHERE published_at < TIMESTAMP '{HALF}'
+UNION ALL SELECT post_id, 'https://live.example/' || external_id FROM posts WHERE published_at >= TIMESTAMP '{HALF}' AND kind <> 'view'""")
+def u6_links(t: Tables):
+    _, new = _halves(t)
+    url = F.concat(F.lit(" https://live.example/"), "external_id")
+    twice = new.select("post_id", F.explode(F.array(F.when(F.col("kind") != "view", url), F.trim(F.when(F.col("kind") != "view", url)), F.lit(" "))).alias("url"))
+    return U.replace_children(t.post_links().select("post_id", "url"), twice, new, "url")
+
+
+@query("u11_ingestion_runs", views="ingestion_runs", sql=f"""
+SELECT run_id, source_name, CASE WHEN run_id = 4 THEN 'running' ELSE 'completed' END AS status, strftime(started_at, {STAMP}) AS started_at,
+  CASE WHEN run_id <> 4 THEN strftime(finished_at, {STAMP}) END AS finished_at FROM ingestion_runs""")
+def u11_runs(t: Tables):
+    runs = t.ingestion_runs()
+    ended = runs.where("run_id <> 4").select("run_id", F.lit("completed").alias("status"), "finished_at")
+    out = U.finish_runs(U.start_runs(runs), ended)
+    return out.select("run_id", "source_name", "status", stamp("started_at").alias("started_at"), stamp("finished_at").alias("finished_at"))
+
+
+TRENDS_SQL = """
 SELECT tag, count(DISTINCT account_id)::INT AS today_accounts, count(*)::INT AS today_uses FROM post_tags JOIN posts USING (post_id)
-GROUP BY tag, published_at::DATE QUALIFY row_number() OVER (PARTITION BY tag ORDER BY published_at::DATE DESC) = 1""")
+GROUP BY tag, published_at::DATE QUALIFY row_number() OVER (PARTITION BY tag ORDER BY published_at::DATE DESC) = 1"""
+
+
+@query("u7_stored_trends", views="posts post_tags", sql=TRENDS_SQL)
+def u7_stored(t: Tables):
+    """Tags as they stood in the first half, then all of them: the newest payload wins."""
+    before, now = (trending_tags(tag_history(t, posts)) for posts in (_halves(t)[0], t.posts(False)))
+    out = U.upsert(before, now, ["source_id", "tag"], U.TREND_RULES)
+    return out.select("tag", "today_accounts", "today_uses")
+
+
+@query("u7_trending_counts", views="posts post_tags", sql=TRENDS_SQL)
 def u7(t: Tables):
-    days = t.post_tags().join(t.posts(False), "post_id").groupBy("tag", F.to_date("published_at").alias("day"), "account_id").agg(
+    return U.with_today(tag_history(t, t.posts(False))).select("name", "today_accounts", "today_uses").withColumnRenamed("name", "tag")
+
+
+def tag_history(t: Tables, posts):
+    days = t.post_tags().join(posts, "post_id").groupBy("tag", F.to_date("published_at").alias("day"), "account_id").agg(
         F.count("*").alias("n")).groupBy("tag", "day").agg(F.count("*").alias("accounts"), F.sum("n").alias("uses"))
     text = lambda c: F.concat(F.lit(" "), F.col(c).cast("string"), F.lit(" times")).alias(c)
     entry = F.struct(F.col("day").cast("string").alias("day"), text("accounts"), text("uses"))
-    history = days.groupBy("tag").agg(F.sort_array(F.collect_list(entry), asc=False).alias("history"))
-    return U.with_today(history).select("tag", "today_accounts", "today_uses")
+    return days.groupBy(F.col("tag").alias("name")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("history"))
 
 
 @query("u8_result_cards", views="analysis_results", sql="""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.operators import case_features as C, reports as R
+from tidemark.operators import upsert as U
 from tidemark.operators.case_text import case_texts
 from tidemark.plans.post_queries import LEX_COLS, lexicon_sql
 from tidemark.plans.registry import big, query, r6, stamp
@@ -347,6 +348,18 @@ def s15(t: Tables):
                       "likes_count", "post_url", F.array_join("tags", ",").alias("tags"))
 
 
+@query("s15_live_accounts", views="posts", sql="""
+SELECT '' || account_id AS external_id, 'user_' || account_id AS username, arg_max(likes_count, published_at)::INT AS followers_count,
+  arg_max(reposts_count, published_at)::INT AS following_count FROM posts GROUP BY account_id""")
+def s15_accounts(t: Tables):
+    """Authors of the landed statuses; of several payloads the newest counts."""
+    rows = statuses(t, t.posts(False).withColumns({"content": F.lit(""), "language": F.lit("")}))
+    landed = t.spark.read.schema(schema.STATUS).json(land(t, rows))
+    authors = live.accounts_of(landed).drop("account_url")
+    out = U.collapse_batch(authors, ["source_id", "external_id"], U.LIVE_ACCOUNT_RULES, "collected_at")
+    return out.select("external_id", "username", "followers_count", "following_count")
+
+
 @query("r1_landed_posts", views="posts", sql=f"""
 SELECT external_id, '' || account_id AS account_external_id, md5(content) AS content_md5, strftime(published_at, {S}) AS published_at, likes_count::INT AS likes_count FROM posts""")
 def r1(t: Tables):

@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
                      'note ' || (event_id % 5) AS confidence_note, ts + INTERVAL 1 HOUR AS created_at
               FROM events WHERE event_type <> 'view')""", []),
     "ingestion_runs": ("""
-        SELECT (event_id // 25) % 5 AS run_id, 'dataset' AS source_type, 'demo' AS source_name, 'finished' AS status,
+        SELECT (event_id // 25) % 5 AS run_id, 'dataset' AS source_type, 'demo' AS source_name, 'completed' AS status,
                min(ts) AS started_at, max(ts) AS finished_at
         FROM events GROUP BY 1""", []),
 }

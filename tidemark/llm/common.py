@@ -54,11 +54,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a stage as Parquet into the shared folder and read it back: the lineage ends in files."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def release(stage: DataFrame) -> None:
+    """Remove the files of a written stage that nothing reads any more."""
+    spark = stage.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def identity(*columns: str):
@@ -90,7 +99,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))
         )).alias("e")).select("e.*").where("a <> b").distinct()
-        links = staged(small, "links")
+        before_links, links = links, staged(small, "links")
+        release(before_links)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

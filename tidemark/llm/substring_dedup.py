@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import query, staged, table
+from tidemark.llm.common import query, release, staged, table
 
 LENGTH = 200
 GRAM = 64
@@ -208,11 +208,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     by byte, each with one row per different context of the bucket, however often it occurs.
     """
     spark, key = texts.sparkSession, f"id {texts.schema['id'].dataType.simpleString()}, h bigint"
-    found = staged(texts.mapInArrow(anchor_batches, f"{key}, at int, q bigint, c bigint"), "anchors")
-    shared = found.groupBy("q").agg(F.count("*").alias("n")).where("n > 1")
-    found = staged(found.join(shared.select("q"), "q", "left_semi"), "buckets")
-    times = found.groupBy("q", "c").agg(F.count("*").alias("n"))
-    found = staged(found.join(times, ["q", "c"]), "contexts")
+    every = staged(texts.mapInArrow(anchor_batches, f"{key}, at int, q bigint, c bigint"), "anchors")
+    shared = every.groupBy("q").agg(F.count("*").alias("n")).where("n > 1")
+    met = staged(every.join(shared.select("q"), "q", "left_semi"), "buckets")
+    release(every)
+    times = met.groupBy("q", "c").agg(F.count("*").alias("n"))
+    found = staged(met.join(times, ["q", "c"]), "contexts")
+    release(met)
     whole = found.where("n > 1").select("id", "h", (F.col("at") - F.least(F.col("at"), F.lit(SPREAD))).alias("start"),
                                         (F.col("at") + LENGTH).alias("end"))
 

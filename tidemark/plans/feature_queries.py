@@ -113,7 +113,7 @@ V4_VIEWS = "posts post_tags post_links"
 
 
 def v4(t: Tables):
-    return C.case_features(t.posts(), t.post_tags(), t.post_links())
+    return C.case_features(t.posts_table(), t.post_tags(), t.post_links())
 
 
 def _features_query(name: str, columns: list[str], counts: list[str] = ()):
@@ -230,7 +230,7 @@ SELECT case_id, event_count, unique_account_count, unique_url_count, unique_hash
   CASE WHEN risk_score >= 0.7 THEN 'high' WHEN risk_score >= 0.4 THEN 'medium' ELSE 'low' END AS risk_level,
   coalesce(evidence, '') AS evidence FROM v1 LEFT JOIN x USING (case_id)""")
 def c19(t: Tables):
-    out = C.case_features_v1(t.posts(), t.post_tags(), t.post_links())
+    out = C.case_features_v1(t.posts_table(), t.post_tags(), t.post_links())
     counts = ["event_count", "unique_account_count", "unique_url_count", "unique_hashtag_count"]
     return out.select("case_id", *counts, *[r6(c).alias(c) for c in ["time_span_seconds", *C.V1_EVIDENCE, *C.SCORES, "risk_score"]],
                       "risk_level", F.array_join("evidence", "; ").alias("evidence"))
@@ -279,7 +279,7 @@ SELECT c.case_id, c.label, round(s.risk_score, 6) AS risk_score, s.score_version
   v1.unique_account_count, coalesce(n.post_count, 0) AS post_count FROM cases c JOIN case_scores s USING (case_id)
 LEFT JOIN v1 USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS post_count FROM posts GROUP BY 1) n USING (case_id)""")
 def j3(t: Tables):
-    features = C.case_features_v1(t.posts(), t.post_tags(), t.post_links()).select("case_id", "feature_version", "unique_account_count")
+    features = C.case_features_v1(t.posts_table(), t.post_tags(), t.post_links()).select("case_id", "feature_version", "unique_account_count")
     out = R.scored_case_table(t.cases(), t.posts(False), t.case_scores(), features)
     return out.select("case_id", "label", r6("risk_score").alias("risk_score"), "score_version", "feature_version",
                       "unique_account_count", big("post_count").alias("post_count"))
@@ -301,6 +301,6 @@ UNION ALL SELECT case_id, 'feature', 'activity_density', round(activity_density,
 UNION ALL SELECT case_id, 'feature', 'duplicate_text_ratio', round(duplicate_text_ratio, 6) FROM v1""")
 def w13(t: Tables):
     posts = t.posts(False)
-    features = C.feature_rows(C.case_features_v1(t.posts(), t.post_tags(), t.post_links()), ["activity_density", "duplicate_text_ratio"])
+    features = C.feature_rows(C.case_features_v1(t.posts_table(), t.post_tags(), t.post_links()), ["activity_density", "duplicate_text_ratio"])
     out = R.case_bundle(t.cases(), posts, t.accounts(), t.post_tags(), t.post_links(), active(t), C.root_posts(posts), features)
     return out.withColumn("amount", r6("amount"))

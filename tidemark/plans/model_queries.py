@@ -24,7 +24,7 @@ def training_slice(cases: DataFrame, features: DataFrame, case_scores: DataFrame
 
 def case_frame(t: Tables) -> DataFrame:
     """Features of all cases, written once as every fit reads them again; the label is null where there is none."""
-    features = C.case_features(t.posts(), t.post_tags(), t.post_links())
+    features = C.case_features(t.posts_table(), t.post_tags(), t.post_links())
     return staged(features.join(labels_of(t), "case_id"), "case-features")
 
 
@@ -160,5 +160,5 @@ def m11(t: Tables):
 
 @query("m12_text_case_scores")
 def m12(t: Tables):
-    frame = staged(case_texts(t.posts(), t.cases()).join(labels_of(t), "case_id"), "case-texts")
+    frame = staged(case_texts(t.posts_table(), t.cases()).join(labels_of(t), "case_id"), "case-texts")
     return L.text_case_scores(L.TextModel.fit(labelled(frame), max_features=VOCABULARY), frame)

@@ -202,7 +202,7 @@ SELECT post_id, account_id, {x3('ms')} AS manipulation_score, {x3('cf')} AS conf
    '🎯 Слабовыраженные признаки') AS tactics,
   CASE WHEN ms > 0.8 THEN 1 WHEN ms > 0.6 THEN 2 WHEN ms > 0.4 OR coordinated THEN 3 ELSE 4 END AS advice FROM m""")
 def t10(t: Tables):
-    out = P.composite_scores(t.posts(), t.accounts(), as_of(), stored_coordination(t), NEWEST, CHECKED, KEPT)
+    out = P.composite_scores(t.posts_table(), t.accounts(), as_of(), stored_coordination(t), NEWEST, CHECKED, KEPT)
     mark = F.substring("recommendation", 1, 1)
     return out.select(
         "post_id", "account_id", "manipulation_score", "confidence_score", "escalation_priority", "coordination_contribution",
@@ -234,20 +234,20 @@ similar_posts AS (SELECT p.post_id AS post_id, o.post_id AS similar_post_id, sim
 
 @query("j13_similar_posts", views="posts", sql="WITH " + SIMILAR_SQL.strip() + " SELECT * FROM similar_posts")
 def j13(t: Tables):
-    return S.similar_posts(t.posts())
+    return S.similar_posts(t.posts_table())
 
 
 @query("t6_coordination_network", views="posts", sql="WITH " + SIMILAR_SQL.strip() + """
 SELECT s.post_id AS post_id, count(*) AS similar_count, count(DISTINCT account_id) AS unique_accounts, count(DISTINCT account_id) >= 3 AND count(*) >= 5 AS coordinated
 FROM similar_posts s JOIN posts p ON p.post_id = s.similar_post_id GROUP BY 1""")
 def t6(t: Tables):
-    posts = t.posts()
+    posts = t.posts_table()
     return S.coordination_network(S.similar_posts(posts), t.posts(False))
 
 
 @query("t10_composite_with_similarity")
 def t10_full(t: Tables):
-    posts = t.posts()
+    posts = t.posts_table()
     network = S.coordination_network(S.similar_posts(posts), t.posts(False))
     out = P.composite_scores(posts, t.accounts(), as_of(), network, NEWEST, CHECKED, KEPT)
     return out.drop("key_evidence", "tactics")

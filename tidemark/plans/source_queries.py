@@ -183,7 +183,7 @@ def account_dataset(t: Tables):
         F.lit("x").alias("location"), F.when(c("account_id") % 11 != 0, c("created_at").cast("string")).alias("created_at"),
         F.lit(AS_OF).alias("updated"), subset.alias("subset_name"), c("is_bot").cast("int").alias("label"))
     marks = people.select("account_id", subset.alias("subset_name"))
-    posts = t.posts().select("post_id", "account_id", "kind", "content", "reposts_count", "replies_count", "likes_count", "reply_to_post_id")
+    posts = t.posts_table().select("post_id", "account_id", "kind", "content", "reposts_count", "replies_count", "likes_count", "reply_to_post_id")
     linked = t.post_links().select("post_id", F.lit(1).alias("num_urls"))
     rows = R.salted_join(posts, marks, ["account_id"], "post_id").join(linked, "post_id", "left")
     tweets = rows.select(
@@ -417,7 +417,7 @@ l AS (SELECT case_id, string_agg(cut, ' ' ORDER BY rn) AS b, count(*) AS n, sum(
 SELECT case_id, coalesce(n, 0) AS reaction_count, coalesce(ch, 0) AS reaction_chars,
   md5(CASE WHEN n > 0 THEN 'Root tweet: ' || root || ' Reactions: ' || b ELSE 'Root tweet: ' || root END) AS text_md5 FROM r LEFT JOIN l USING (case_id)""")
 def w10(t: Tables):
-    out = case_texts(t.posts(), t.cases(), 8, 220)  # what the text models of the published figures read
+    out = case_texts(t.posts_table(), t.cases(), 8, 220)  # what the text models of the published figures read
     return out.select("case_id", "reaction_count", "reaction_chars", F.md5("text").alias("text_md5"))
 
 

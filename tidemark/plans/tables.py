@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import host_name
+from tidemark.session import staged
 
 # Text put before a document so that posts of one kind carry the markers of that kind.
 PREFIX_BY_TYPE = {
@@ -21,6 +22,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stored: DataFrame | None = None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -54,20 +56,25 @@ class Tables:
         )
         if not content:
             return posts
-        # The given files are one row group each and a text serves many posts, so sizes say little
-        # about the work: an explicit number of partitions keeps all cores on it.
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         documents = self.raw("documents")
         n = documents.count()  # answered from the Parquet footers
         prefix = F.create_map(*[F.lit(x) for pair in PREFIX_BY_TYPE.items() for x in pair])
         texts = documents.select(F.col("doc_id").alias("doc_key"), "text", F.col("lang").alias("language"))
         return (
-            posts.withColumn("doc_key", F.col("post_id") % n).repartition(parts, "doc_key")
-            .join(texts.repartition(parts, "doc_key").hint("shuffle_hash"), "doc_key")
+            # a sort-merge join whatever the sizes: the given files are one row group each, which a broadcast join would
+            # leave to one task; Spark chooses the number of partitions
+            posts.withColumn("doc_key", F.col("post_id") % n).join(texts.hint("merge"), "doc_key")
             .withColumn("content", F.concat(prefix[F.col("kind")], F.col("text")))
             .drop("doc_key", "text")
         )
 
+    def posts_table(self) -> DataFrame:
+        """Posts with content as a written table, as they are stored outside of these views: work that reads them in
+        several branches does not join the documents again, and branches without texts do not read them."""
+        if self._stored is None:
+            self._stored = staged(self.posts(), "posts")
+        return self._stored
+
     def post_tags(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("bigint")
         return self._events().select(
@@ -204,6 +211,6 @@ class Tables:
             .agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"))
             .select(
                 "run_id", F.lit("dataset").alias("source_type"), F.lit("demo").alias("source_name"),
-                F.lit("finished").alias("status"), "started_at", "finished_at",
+                F.lit("completed").alias("status"), "started_at", "finished_at",
             )
         )

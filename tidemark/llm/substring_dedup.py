@@ -209,16 +209,19 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """
     spark, key = texts.sparkSession, f"id {texts.schema['id'].dataType.simpleString()}, h bigint"
     every = staged(texts.mapInArrow(anchor_batches, f"{key}, at int, q bigint, c bigint"), "anchors")
-    shared = every.groupBy("q").agg(F.count("*").alias("n")).where("n > 1")
-    met = staged(every.join(shared.select("q"), "q", "left_semi"), "buckets")
+    # sums are written before they are joined: Spark then splits the rows of a frequent bucket among tasks
+    shared = staged(every.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select("q"), "shared")
+    met = staged(every.join(shared, "q", "left_semi"), "buckets")
     release(every)
-    times = met.groupBy("q", "c").agg(F.count("*").alias("n"))
-    found = staged(met.join(times, ["q", "c"]), "contexts")
+    release(shared)
+    times = staged(met.groupBy("q", "c").agg(F.count("*").alias("n")).where("n > 1"), "times")
+    found = staged(met.join(times, ["q", "c"], "left").na.fill(1, ["n"]), "contexts")
     release(met)
+    release(times)
     whole = found.where("n > 1").select("id", "h", (F.col("at") - F.least(F.col("at"), F.lit(SPREAD))).alias("start"),
                                         (F.col("at") + LENGTH).alias("end"))
 
-    open_buckets = found.where("n = 1").groupBy("q").agg(F.count("*").alias("open")).select("q")
+    open_buckets = staged(found.where("n = 1").select("q").distinct(), "open")
     ones = found.join(open_buckets, "q", "left_semi").groupBy("q", "c") \
         .agg(F.min(F.struct("id", "h", "at")).alias("one"), F.max("n").alias("n"))
     ones = staged(ones.select("q", "n", "one.*"), "ones")

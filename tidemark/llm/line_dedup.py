@@ -110,9 +110,10 @@ def drop_repeated_lines(docs: DataFrame, carry: list[str], text: str = "text", d
     for b in range(batches):
         held = batched.where(F.col("batch") == b).select("ha", "hb", "id").distinct()
         runs.add(held.groupBy("ha", "hb").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")))
-    frequent = Runs.merged(runs.all()).where(F.col("n_docs") >= min_docs).select("ha", "hb", "keeper")
-    drops = lines.join(frequent, ["ha", "hb"]).where(~F.col("id").eqNullSafe(F.col("keeper"))) \
-        .groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+    # sums are written before they are joined: Spark then splits the rows of a frequent line or document among tasks
+    frequent = staged(Runs.merged(runs.all()).where(F.col("n_docs") >= min_docs).select("ha", "hb", "keeper"), "frequent")
+    drops = staged(lines.join(frequent, ["ha", "hb"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+                   .groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), own.alias("doc"),
                        F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("all"))
     kept = F.when(F.col("drops").isNull(), F.col("all")).otherwise(without(F.col("all"), F.col("drops")))

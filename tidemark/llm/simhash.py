@@ -147,7 +147,8 @@ def mark_near_copies(docs: DataFrame, carry: list[str], text: str = "text", doc_
     heads = staged(rows.groupBy("fp").agg(first), "heads")
     roots = components(near_links(heads.select("fp"), distance)).withColumnRenamed("node", "fp")
     heads = heads.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = heads.groupBy("root").agg(F.min("first").alias("best"))
+    # written before it is joined: Spark then splits the rows of a large component among tasks
+    of_root = staged(heads.groupBy("root").agg(F.min("first").alias("best")), "roots")
     decided = heads.join(of_root, "root").select("fp", "best")
     mark = F.struct("fp", F.col("best.id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("kept"))
     return rows.join(decided, "fp").select("row.*", mark.alias(into))

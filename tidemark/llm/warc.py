@@ -224,7 +224,8 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", uri:
     """
     rows = pages.select(F.col(page_id).alias("page"), F.col(uri).cast("string").alias("uri"),
                         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = rows.groupBy("sha1").agg(F.min("page").alias("first"))
+    # sums are written before they are joined: Spark then splits the pages of a frequent digest among tasks
+    first = staged(rows.groupBy("sha1").agg(F.min("page").alias("first")), "first")
     revisit = (F.octet_length("payload") >= revisit_bytes) & ~F.col("page").eqNullSafe(F.col("first"))
     told = rows.join(first, "sha1").select(
         F.col("page").cast("string").alias("id"), "uri", F.when(revisit, "revisit").otherwise("response").alias("type"),
@@ -249,6 +250,7 @@ def resolved(records: DataFrame) -> DataFrame:
     """
     sizes = staged(records.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).drop("payload"), "records")
     responses = sizes.where("type = 'response'").groupBy(F.col("id").alias("refers_to"), "digest").agg(F.max("payload_bytes").alias("full_bytes"))
+    responses = staged(responses, "responses")
     out = sizes.join(responses, ["refers_to", "digest"], "left")
     return out.withColumn("payload_bytes", F.coalesce("payload_bytes", "full_bytes")).drop("full_bytes")
 

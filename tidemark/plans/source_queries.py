@@ -323,20 +323,18 @@ def land(t: Tables, rows, folder: str = "") -> str:
     return folder
 
 
-def streamed(t: Tables, rows, job, at: str):
-    """The rows land, and later one from the far future that closes all windows; what the job has then written."""
-    folder = land(t, rows.where(F.col("created_at").isNotNull()))
+def streamed(t: Tables, rows, count, measure: str):
+    """The newer half lands and is worked off, then the older one; the counts of all batches, summed."""
     table = f"{shared_folder(t.spark)}/windows-{uuid.uuid4().hex}"
-
-    def run():
-        posts = live.posts_of(J.landed(t.spark, folder, files_per_batch=1_000_000))
+    rows = rows.where(F.col("created_at").isNotNull())
+    middle = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    folder = ""
+    for half in (rows.where(F.col("created_at") >= middle), rows.where(F.col("created_at") < middle)):
+        folder = land(t, half, folder)
+        posts = live.posts_of(J.landed(t.spark, folder))
         posts = posts.withColumn("case_id", F.expr("cast(substring(external_id, 2) as bigint) div 25"))
-        J.run_available(job(posts), J.append_batch(table, at), f"{table}-checkpoint")
-
-    run()
-    land(t, rows.orderBy("id").limit(1).withColumn("created_at", F.lit("2100-01-01 00:00:00").cast("timestamp")), folder)
-    run()
-    return t.spark.read.parquet(table)
+        J.run_available(posts, J.append_counts(table, count), f"{table}-checkpoint")
+    return J.summed(t.spark.read.parquet(table), measure)
 
 
 @query("s15_live_posts", views="posts", sql=f"""
@@ -392,7 +390,7 @@ WITH w AS (SELECT case_id, time_bucket(INTERVAL 15 MINUTE, published_at) - to_mi
 SELECT case_id, strftime(s, {S}) AS window_start, strftime(s + INTERVAL 30 MINUTE, {S}) AS window_end, count(*) AS posts FROM w GROUP BY 1, s""")
 def r3(t: Tables):
     rows = statuses(t, t.posts(False).withColumns({"content": F.lit(""), "language": F.lit("")}))
-    out = streamed(t, rows, lambda posts: J.bursts(posts, "30 minutes", "15 minutes"), "window_start")
+    out = streamed(t, rows, lambda posts: J.bursts(posts, "30 minutes", "15 minutes"), "posts")
     return out.select("case_id", stamp("window_start").alias("window_start"), stamp("window_end").alias("window_end"), "posts")
 
 
@@ -401,7 +399,7 @@ WITH h AS (SELECT date_trunc('hour', published_at) AS hour, tag, count(*) AS use
 SELECT strftime(hour, {S}) AS hour, tag, uses, row_number() OVER (PARTITION BY h.hour ORDER BY uses DESC, tag)::INTEGER AS rank FROM h QUALIFY rank <= 3""")
 def r4(t: Tables):
     tagged = t.posts(False).withColumns({"content": F.lit(""), "language": F.lit("")}).join(t.post_tags(), "post_id")
-    out = J.ranked_tags(streamed(t, statuses(t, tagged, "tag"), J.tags_per_hour, "hour"), 3)
+    out = J.ranked_tags(streamed(t, statuses(t, tagged, "tag"), J.tags_per_hour, "uses"), 3)
     return out.select(stamp("hour").alias("hour"), "tag", "uses", "rank")
 
 

@@ -2,7 +2,8 @@
 
 import pytest
 from llm_cases import TEXTS, documents, key, none
-from test_llm_dedup import plain_exact, plain_near
+from test_llm_dedup import plain_exact
+from test_llm_shingle_dedup import plain_similar
 from test_llm_text import plain_scan
 
 import corpus_pipeline
@@ -19,7 +20,7 @@ def test_run_equals_the_plain_stages(spark):
     rows = [(i, t) for i, t in rows if model.score(terms(t)) < 0.5]
     keep = {k for _, k, _, _ in plain_exact(rows)}
     rows = [(i, t) for i, t in rows if i in keep]
-    keep = {c for _, _, c in plain_near(rows)}
+    keep = {c for _, c in plain_similar(rows)[0]}
     rows = [(i, t) for i, t in rows if i in keep]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if not plain_scan(t, items)[1]]

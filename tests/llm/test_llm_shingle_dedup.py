@@ -44,9 +44,9 @@ def edited():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [256, 3])
-def test_similar_texts(spark, monkeypatch, chunk):
-    monkeypatch.setattr(shingle_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize("part", [4_000_000, 2_000])
+def test_similar_texts(spark, monkeypatch, part):
+    monkeypatch.setattr(shingle_dedup, "PART_BYTES", part)
     common.configure(spark)
     rows = TEXTS + edited()
     out = shingle_dedup.mark_similar(documents(spark, rows), ["doc_id", "fp"])
@@ -69,3 +69,49 @@ def test_the_stage_drops_copies_beyond_four_bits(spark):
 
 def test_similar_texts_of_nothing(spark):
     assert shingle_dedup.mark_similar(none(spark), ["doc_id"]).count() == 0
+
+
+def group(n, changed):
+    """Copies of one text, each with other words changed: none is in the table itself."""
+    dice = random.Random(n + changed)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for at in dice.sample(range(150), changed):
+            own[at] = f"new{dice.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("changed", [1, 2, 3])
+def test_rows_grow_with_a_group_not_with_its_pairs(spark, monkeypatch, changed):
+    """Links that leave the tasks, over all bands and pairs of parts, for groups of which some, many or no pairs are similar."""
+    made = []
+    plain = shingle_dedup.connecting
+    for n in (60, 240):
+        rows = group(n, changed)
+        sets = [shingle_dedup.shingles(t.encode()) for _, t in rows]
+        links = plain(sets, list(range(n)), range(n), range(n), 0.8)
+        made.append(len(links))
+        groups = {i: i for i in range(n)}
+        for i, j in links:
+            a, b = groups[i], groups[j]
+            assert a != b  # connects what was apart
+            groups = {k: a if g == b else g for k, g in groups.items()}
+        want = dict(plain_similar(rows)[0])
+        assert {frozenset(k for k in groups if groups[k] == g) for g in groups.values()} == {frozenset(k for k in want if want[k] == c) for c in want.values()}
+    assert made[0] < 60 and made[1] < 240
+    out = shingle_dedup.mark_similar(documents(spark, rows), ["doc_id"]).collect()
+    assert {r.doc_id: r.near.component_id for r in out} == want
+
+
+def test_stages_are_removed(spark):
+    import os
+
+    common.configure(spark)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = shingle_dedup.mark_similar(documents(spark, edited()), ["doc_id"])
+    assert sorted(n.split("-")[0] for n in set(os.listdir(folder)) - before) == ["decided", "sketches"]
+    assert out.count() == 72

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -60,9 +61,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stage_path = path
+    for scope in SCOPES[-1:]:
+        scope.append(out)
     return out
 
 
+SCOPES: list[list[DataFrame]] = []  # stages written within `scratch`, by the block they belong to
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stages written in the block are removed at its end, but for those given to the function it yields; these
+    belong to the block around it, if there is one."""
+    kept: list[DataFrame] = []
+    SCOPES.append([])
+
+    def keep(stage: DataFrame) -> DataFrame:
+        kept.append(stage)
+        return stage
+
+    try:
+        yield keep
+    finally:
+        for stage in SCOPES.pop():
+            if not any(stage is k for k in kept):
+                release(stage)
+            elif SCOPES:
+                SCOPES[-1].append(stage)
+
+
 def release(stage: DataFrame) -> None:
     """Remove the files of a written stage that nothing reads any more."""
     spark = stage.sparkSession
@@ -79,11 +106,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a long, b long): node, root (the smallest node reachable).
 
     Alternates two star steps, each one minimum per node and one join: after a logarithmic number of rounds
-    every node points at the smallest one of its component. Each round is a written stage. The star of a
-    large component keeps its hub on one side of the join only, which Spark splits if it is skewed.
-    Nodes without an edge to another node do not appear.
+    every node points at the smallest one of its component. Each round is a written stage, and so are the minima before they are
+    joined: Spark then splits the links of a hub among tasks. Nodes without an edge to another node do not appear.
     """
-    spark = edges.sparkSession
     links = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
@@ -91,16 +116,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # every neighbour that is larger than a node, and the node, point at the smallest neighbour
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = staged(large.where("a <> b").distinct(), "links")
         # of its smaller neighbours and itself, all point at the smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(
+        lowest = staged(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
+        small = large.join(lowest, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))
         )).alias("e")).select("e.*").where("a <> b").distinct()
-        before_links, links = links, staged(small, "links")
-        release(before_links)
+        read, links = [links, low, large, lowest], staged(small, "links")
+        for stage in read:
+            release(stage)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import query, staged, table
+from tidemark.llm.common import query, scratch, staged, table
 
 FANOUT = 3
 #: Levels that are climbed between two shuffles; FANOUT ** PASS nodes of a group stay together in a task.
@@ -104,26 +104,33 @@ def manifest(docs: DataFrame, carry: list[str], columns: list[str], group: str,
     hashed whole, whatever their length; an empty table gives no rows; columns of `docs` may have any name but `into`.
 
     A leaf's text is read once; what is dealt, sorted and joined are digests. A group spreads over tasks in blocks of
-    fanout ** PASS nodes; each pass up leaves that fraction of the rows, and each join down has as many rows a key.
+    fanout ** PASS nodes; each pass up leaves that fraction of the rows, and each join down has as many rows a key. Two written
+    stages stay, for the result reads them.
     """
     name = F.col(group).cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(order).alias("key"),
                        F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("grp"), leaf(*[F.col(f"`{c}`") for c in columns]).alias("node"))
-    leaves = numbered(rows, [F.col("key").asc_nulls_first(), F.col("node")])
-    passes = grown(leaves.select("row", "grp", "pos", "n", "node", F.col("node").alias("leaf")), fanout)
-    roots = passes[-1].where("pos = 0").select("grp", F.col("node").alias("subroot"))
-    # the groups are the leaves of the tree above, in which all belong to one group
-    tops = grown(numbered(roots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "subroot", F.col("subroot").alias("node")),
-                          [F.col("name")]), fanout)
-    above = tops[-1].select("*", F.col("node").alias("root"))
-    for lower in reversed(tops[:-1]):
-        above = down(lower, above, "root")
-    above = above.select(F.col("name").alias("grp"), "path", F.struct("subroot", "root").alias("ends"))
-    last, *below = reversed(passes)
-    above = last.join(above.withColumnRenamed("path", "upper"), "grp").withColumn("path", F.concat("path", "upper"))
-    for lower in below:
-        above = down(lower, above, "ends")
-    return above.select("row.*", F.struct("leaf", "ends.subroot", "ends.root", "path").alias(into))
+    with scratch() as keep:
+        leaves = numbered(rows, [F.col("key").asc_nulls_first(), F.col("node")])
+        first, *later = grown(leaves.select("row", "grp", "pos", "n", "node", F.col("node").alias("leaf")), fanout)
+        top = later[-1] if later else first
+        # the groups are the leaves of the tree above, in which all belong to one group
+        groups = top.where("pos = 0").select(F.lit("").alias("grp"), F.col("grp").alias("name"), "node", F.col("node").alias("subroot"))
+        tops = grown(numbered(groups, [F.col("name")]), fanout)
+        above = tops[-1].select("*", F.col("node").alias("root"))
+        for lower in reversed(tops[:-1]):
+            above = down(lower, above, "root")
+        above = above.select(F.col("name").alias("grp"), F.col("path").alias("upper"), F.struct("subroot", "root").alias("ends"))
+        if not later:
+            ends = keep(staged(above, "roots"))
+        else:
+            above = top.join(above, "grp").withColumn("path", F.concat("path", "upper"))
+            for lower in reversed(later[:-1]):
+                above = down(lower, above, "ends")
+            ends = keep(staged(above.select("grp", "pos", "path", "ends"), "blocks"))
+        keep(first)
+    out = down(first, ends, "ends") if later else first.join(ends, "grp").withColumn("path", F.concat("path", "upper"))
+    return out.select("row.*", F.struct("leaf", "ends.subroot", "ends.root", "path").alias(into))
 
 
 def down(lower: DataFrame, above: DataFrame, ends: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import components, query, staged, table
+from tidemark.llm.common import components, query, scratch, staged, table
 
 SHINGLE = 4
 DISTANCE = 4
@@ -139,17 +139,19 @@ def mark_near_copies(docs: DataFrame, carry: list[str], text: str = "text", doc_
 
     Fingerprints are written once with their rows. Everything on pairs works on distinct fingerprints, so copies
     never meet; the joins back have one row per fingerprint on one side, and Spark splits the other where skewed.
+    Whole texts count: a text takes about 150 bytes a word while it is cut. Two written stages stay, for the result reads them.
     """
-    rows = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(doc_id).alias("id"),
-                              F.monotonically_increasing_id().alias("uid"),
-                              fingerprints(F.coalesce(F.col(text), F.lit(""))).alias("fp")), "fingerprints")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))).alias("first")
-    heads = staged(rows.groupBy("fp").agg(first), "heads")
-    roots = components(near_links(heads.select("fp"), distance)).withColumnRenamed("node", "fp")
-    heads = heads.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # written before it is joined: Spark then splits the rows of a large component among tasks
-    of_root = staged(heads.groupBy("root").agg(F.min("first").alias("best")), "roots")
-    decided = heads.join(of_root, "root").select("fp", "best")
+    with scratch() as keep:
+        rows = keep(staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(doc_id).alias("id"),
+                                       F.monotonically_increasing_id().alias("uid"),
+                                       fingerprints(F.coalesce(F.col(text), F.lit(""))).alias("fp")), "fingerprints"))
+        first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))).alias("first")
+        heads = staged(rows.groupBy("fp").agg(first), "heads")
+        roots = components(near_links(heads.select("fp"), distance)).withColumnRenamed("node", "fp")
+        heads = heads.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        # written before it is joined: Spark then splits the rows of a large component among tasks
+        of_root = staged(heads.groupBy("root").agg(F.min("first").alias("best")), "roots")
+        decided = keep(staged(heads.join(of_root, "root").select("fp", "best"), "decided"))
     mark = F.struct("fp", F.col("best.id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("kept"))
     return rows.join(decided, "fp").select("row.*", mark.alias(into))
 

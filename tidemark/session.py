@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # later metadata wins when two maps are merged
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # streams keep what they have seen on disk, and a batch uploads its changes only
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -213,10 +213,10 @@ HALF = "2024-01-15 12:00:00"
 
 
 def _halves(t: Tables):
-    """The events before and after the middle of the month: what is stored and what arrives."""
-    posts = t.posts(False).where(F.col("published_at").isNotNull())
-    cut = F.lit(HALF).cast("timestamp")
-    return posts.where(F.col("published_at") < cut), posts.where(F.col("published_at") >= cut)
+    """The events before the middle of the month and those without a time, and the ones after it: what is stored and what arrives."""
+    posts = t.posts(False)
+    newer = F.coalesce(F.col("published_at") >= F.lit(HALF).cast("timestamp"), F.lit(False))
+    return posts.where(~newer), posts.where(newer)
 
 
 def _account_rows(posts):
@@ -229,7 +229,7 @@ def _account_rows(posts):
 
 
 ACC_ROWS = f"""r AS (SELECT account_id, 'a' || account_id AS external_id, kind, likes_count, reposts_count, replies_count, published_at, post_id,
-  published_at < TIMESTAMP '{HALF}' AS old FROM posts),
+  coalesce(published_at < TIMESTAMP '{HALF}', true) AS old FROM posts),
 b AS (SELECT external_id, arg_max((kind, likes_count, reposts_count, replies_count, kind = 'purchase'), post_id) AS l,
   arg_min((kind, replies_count, kind = 'purchase', published_at), post_id) AS f FROM r WHERE old GROUP BY 1),
 u AS (SELECT external_id, arg_max((kind, likes_count, reposts_count, replies_count, kind = 'purchase'), post_id) AS l,
@@ -338,7 +338,7 @@ def u5(t: Tables):
 
 
 @query("u6_replaced_tags", views="posts post_tags", sql=f"""
-SELECT post_id, tag FROM post_tags JOIN posts USING (post_id) WHERE published_at < TIMESTAMP '{HALF}'
+SELECT post_id, tag FROM post_tags JOIN posts USING (post_id) WHERE coalesce(published_at < TIMESTAMP '{HALF}', true)
 UNION ALL SELECT post_id, kind FROM posts WHERE published_at >= TIMESTAMP '{HALF}' AND kind <> 'view'""")
 def u6(t: Tables):
     _, new = _halves(t)

@@ -141,16 +141,24 @@ def a5(t: Tables):
     return R.risk_distribution(base(t)).withColumn("high_risk_share", r6("high_risk_share"))
 
 
-@query("a6_engagement", views="posts cases accounts", sql="""
+ENGAGEMENT_SQL = """
 SELECT count(*) AS post_count, sum(likes_count)::BIGINT AS total_likes, sum(reposts_count)::BIGINT AS total_reposts,
   sum(replies_count)::BIGINT AS total_replies, sum(likes_count + reposts_count + replies_count)::BIGINT AS total_engagement,
   count(DISTINCT account_id) AS unique_accounts, count(DISTINCT account_id) FILTER (WHERE is_verified) AS verified_accounts
-FROM posts JOIN cases USING (case_id) LEFT JOIN accounts USING (account_id) WHERE cases.event_name = 'NATION_3'""")
+FROM posts JOIN cases USING (case_id) LEFT JOIN accounts USING (account_id)"""
+
+
+@query("a6_engagement", views="posts cases accounts", sql=ENGAGEMENT_SQL + " WHERE cases.event_name = 'NATION_3'")
 def a6(t: Tables):
     kept = where_chosen(t.cases(), event_name="NATION_3", status="all")
     return R.engagement_totals(kept, t.posts(False), t.accounts())
 
 
+@query("a6_engagement_of_all", views="posts cases accounts", sql=ENGAGEMENT_SQL)
+def a6_all(t: Tables):
+    return R.engagement_totals(t.cases(), t.posts(False), t.accounts())
+
+
 @query("a7_cases_over_time", views="cases case_scores", sql=f"""
 SELECT strftime(first_event_at, '%Y-%m-%d') AS day, count(*) AS total, {LEVEL_SQL}
 FROM cases c LEFT JOIN case_scores s USING (case_id) GROUP BY 1""")
@@ -178,17 +186,26 @@ def a9(t: Tables):
     return R.breakdowns(base(t)).withColumn("avg_risk", r6("avg_risk"))
 
 
-@query("a10_scorer_performance", views="cases case_scores case_model_scores", sql="""
+PERFORMANCE_SQL = """
 SELECT scorer_key, round(coalesce(avg(risk_score), 0), 6) AS avg_risk_score, count(DISTINCT case_id) AS cases_analyzed
 FROM (SELECT 'case_scores' AS scorer_key, case_id, risk_score FROM case_scores
       UNION ALL SELECT scorer_key, case_id, risk_score FROM case_model_scores)
-WHERE case_id IN (SELECT case_id FROM cases WHERE label = 'rumour') GROUP BY 1""")
+WHERE case_id IN (SELECT case_id FROM cases{where}) GROUP BY 1"""
+
+
+@query("a10_scorer_performance", views="cases case_scores case_model_scores", sql=PERFORMANCE_SQL.format(where=" WHERE label = 'rumour'"))
 def a10(t: Tables):
     kept = where_chosen(t.cases(), label="rumour")
     return R.scorer_performance(kept, t.case_scores(), t.case_model_scores()).withColumn(
         "avg_risk_score", r6("avg_risk_score"))
 
 
+@query("a10_scorer_performance_of_all", views="cases case_scores case_model_scores", sql=PERFORMANCE_SQL.format(where=""))
+def a10_all(t: Tables):
+    return R.scorer_performance(t.cases(), t.case_scores(), t.case_model_scores()).withColumn(
+        "avg_risk_score", r6("avg_risk_score"))
+
+
 @query("x1_all_scores", views="case_scores case_model_scores", sql="""
 SELECT 'case_scores' AS scorer_key, case_id, round(risk_score, 6) AS risk_score FROM case_scores
 UNION ALL SELECT scorer_key, case_id, round(risk_score, 6) FROM case_model_scores""")
@@ -231,16 +248,24 @@ def a14(t: Tables):
     return out.withColumn("avg_manipulation_score", r6("avg_manipulation_score")).withColumn("avg_confidence", r6("avg_confidence"))
 
 
-@query("a1_analysis_summary", views="posts analysis_results", sql="""
+SUMMARY_SQL = """
 SELECT count(*) AS total_analyzed, count(*) FILTER (WHERE escalation_priority = 1) AS high_risk,
   count(*) FILTER (WHERE escalation_priority = 2) AS medium_risk, count(*) FILTER (WHERE escalation_priority = 3) AS low_risk,
   round(coalesce(avg(manipulation_score), 0), 6) AS average_score
-FROM analysis_results JOIN posts USING (post_id) WHERE source_type = 'dataset' AND dataset_split = 'train'""")
+FROM analysis_results JOIN posts USING (post_id)"""
+
+
+@query("a1_analysis_summary", views="posts analysis_results", sql=SUMMARY_SQL + " WHERE source_type = 'dataset' AND dataset_split = 'train'")
 def a1(t: Tables):
     return R.analysis_summary(t.posts(False), t.analysis_results(), dataset_split="train").withColumn(
         "average_score", r6("average_score"))
 
 
+@query("a1_analysis_summary_of_all", views="posts analysis_results", sql=SUMMARY_SQL)
+def a1_all(t: Tables):
+    return R.analysis_summary(t.posts(False), t.analysis_results(), source_type="all").withColumn("average_score", r6("average_score"))
+
+
 LINKED = "FROM analysis_results r JOIN posts p USING (post_id) JOIN cases c USING (case_id)"
 
 
@@ -248,16 +273,28 @@ def linked(t: Tables, **f):
     return R.results_of_cases(where_equal(t.cases(), **f), t.posts(False), t.analysis_results())
 
 
-@query("a11_manipulation_stats", views="posts cases analysis_results", sql=f"""
+STATS_SQL = f"""
 SELECT round(avg(manipulation_score), 6) AS avg_manipulation, round(avg(coordination_contribution), 6) AS avg_coordination,
   round(avg(temporal_contribution), 6) AS avg_temporal, round(avg(narrative_contribution), 6) AS avg_narrative,
   round(avg(confidence_score), 6) AS avg_confidence, count(*) AS total_analyzed,
-  count(*) FILTER (WHERE manipulation_score >= 0.7) AS high_manipulation {LINKED} WHERE c.status = 'closed'""")
-def a11(t: Tables):
-    out = R.manipulation_stats(linked(t, status="closed"))
+  count(*) FILTER (WHERE manipulation_score >= 0.7) AS high_manipulation {LINKED}"""
+
+
+def stats_of(rows):
+    out = R.manipulation_stats(rows)
     return out.select(*[r6(c).alias(c) if c.startswith("avg") else c for c in out.columns])
 
 
+@query("a11_manipulation_stats", views="posts cases analysis_results", sql=STATS_SQL + " WHERE c.status = 'closed'")
+def a11(t: Tables):
+    return stats_of(linked(t, status="closed"))
+
+
+@query("a11_manipulation_stats_of_all", views="posts cases analysis_results", sql=STATS_SQL)
+def a11_all(t: Tables):
+    return stats_of(linked(t))
+
+
 @query("a12_branch_time_series", views="posts cases analysis_results", sql=f"""
 SELECT strftime(r.created_at, '%Y-%m-%d') AS day, round(avg(coordination_contribution), 6) AS coordination,
   round(avg(temporal_contribution), 6) AS temporal, round(avg(narrative_contribution), 6) AS narrative, count(*) AS cnt
@@ -525,6 +562,12 @@ def x3(t: Tables):
     return t.posts(False).join(wanted, "case_id", "left_semi").select("account_id").distinct()
 
 
+@query("x3_distinct_active_accounts_of_all", views="posts cases", sql="""
+SELECT DISTINCT account_id FROM posts WHERE case_id IN (SELECT case_id FROM cases)""")
+def x3_all(t: Tables):
+    return t.posts(False).join(t.cases().select("case_id"), "case_id", "left_semi").select("account_id").distinct()
+
+
 @query("w11_model_score_list", views="case_model_scores", sql="""
 SELECT case_id, scorer_key, model_version, round(risk_score, 6) AS risk_score, risk_level, round(confidence_score, 6) AS confidence_score,
   row_number() OVER (PARTITION BY case_id ORDER BY case_model_scores.risk_score DESC, scorer_key)::INTEGER AS position FROM case_model_scores""")

@@ -201,9 +201,11 @@ def labelled_rows(t: Tables):
     c = F.col
     raw = t.raw("labels").join(t.raw("documents"), "doc_id").select(
         c("doc_id").cast("string").alias("id"), F.when(c("lang") == "en", " ").otherwise(c("text")).alias("clean_title"),
-        F.concat(F.lit("title "), c("text")).alias("title"), F.when(c("quality") == 1, c("toxic").cast("string")).otherwise("n/a").alias("2_way_label"),
+        F.concat(F.lit("title "), c("text")).alias("title"), c("toxic").cast("string").alias("2_way_label"),
         c("source").alias("subreddit"), F.lit("1").alias("score"), F.lit("2").alias("num_comments"), F.lit("0.5").alias("upvote_ratio"), F.lit("True").alias("hasImage"))
-    return B.labelled_posts(raw)
+    # three more rows have a label that is none
+    broken = raw.where(c("id").isin("0", "1", "2")).withColumns({"id": F.concat(F.lit("broken"), "id"), "2_way_label": F.lit("n/a")})
+    return B.labelled_posts(raw.unionByName(broken))
 
 
 def comment_rows(t: Tables):
@@ -213,7 +215,7 @@ def comment_rows(t: Tables):
 
 WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
 LABELLED = rf"""posts AS (SELECT doc_id::VARCHAR AS id, toxic AS label_raw, (toxic = 0)::INT AS label, source AS subreddit,
-  trim(regexp_replace(CASE WHEN lang = 'en' THEN 'title ' || text ELSE text END, '^{WS}|{WS}$', '', 'g')) AS text FROM labels JOIN documents USING (doc_id) WHERE quality = 1)"""
+  trim(regexp_replace(CASE WHEN lang = 'en' THEN 'title ' || text ELSE text END, '^{WS}|{WS}$', '', 'g')) AS text FROM labels JOIN documents USING (doc_id))"""
 COMMENTS = rf"""c0 AS (SELECT conv_id::VARCHAR AS id, CASE WHEN turn % 5 = 4 THEN 0.0::DOUBLE ELSE (turn * 7 % 10)::DOUBLE END AS ups,
   substring(trim(regexp_replace(text, '{WS}', ' ', 'g')), 1, 220) AS body FROM conversations),
 c1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ups DESC, body) AS rank FROM c0 WHERE body <> '' AND id IN (SELECT id FROM posts))"""
@@ -326,10 +328,9 @@ def land(t: Tables, rows, folder: str = "") -> str:
 def streamed(t: Tables, rows, count, measure: str):
     """The newer half lands and is worked off, then the older one; the counts of all batches, summed."""
     table = f"{shared_folder(t.spark)}/windows-{uuid.uuid4().hex}"
-    rows = rows.where(F.col("created_at").isNotNull())
-    middle = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    newer = F.coalesce(F.col("created_at") >= F.lit("2024-01-16 00:00:00").cast("timestamp"), F.lit(False))
     folder = ""
-    for half in (rows.where(F.col("created_at") >= middle), rows.where(F.col("created_at") < middle)):
+    for half in (rows.where(newer), rows.where(~newer)):
         folder = land(t, half, folder)
         posts = live.posts_of(J.landed(t.spark, folder))
         posts = posts.withColumn("case_id", F.expr("cast(substring(external_id, 2) as bigint) div 25"))

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schema
@@ -81,7 +82,7 @@ def test_account_files(spark, tmp_path):
     (folder / "users.csv").write_bytes((head + "\n" + "1" + ",5" * 5 + ",,,,1,,caf\xe9,,,2012-01-01,2012-01-02\n" + "1" + ",6" * 5 + ",,,,,,,,,,\n").encode("latin-1"))
     (folder / "tweets.csv").write_text(",".join(A.TWEET_COLUMNS) + "\n1,hello,web,0,0,1,2,3,0,0,0\n2,other,web,0,0,1,2,3,0,0,0\n")
     users, tweets = A.read_account_csv(spark, str(tmp_path), {"fake_followers": 1})
-    assert users.count() == 1 and tweets.count() == 1 and users.where("description is not null").first().description in ("café", None)
+    assert users.count() == 1 and tweets.count() == 1 and users.first().description == "café"
     record = {"user_id": "7", "label": "BOT", "dataset": "x", "user_tweets": [
         {"text": "a", "entities": {"hashtags": [{}, {}]}}, {"full_text": "b", "text": "c", "user": {"followers_count": 3}, "created_at": "2020-01-01"}]}
     with gzip.open(tmp_path / "n.ndjson.gz", "wt") as f:
@@ -92,6 +93,51 @@ def test_account_files(spark, tmp_path):
     assert {r.text: r.num_hashtags for r in tweets.collect()} == {"a": 2.0, "b": 0.0}
 
 
+def test_quoted_records_across_blocks(spark, tmp_path):
+    """Texts with line breaks, quotes and commas, in files of many blocks, as the reader of whole files gives them."""
+    import csv
+    import random
+
+    dice = random.Random(3)
+    pieces = ["a,b", 'say ""', "line\nbreak", "", "é", '"', "\n\n", "x" * 50]
+    rows = [[str(i), "".join(dice.choices(pieces, k=dice.randrange(6))), str(dice.random())] for i in range(900)]
+    for k in range(2):
+        with open(tmp_path / f"{k}.csv", "w", encoding="ISO-8859-1", newline="") as out:
+            writer = csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\r\n" if k else "\n")
+            writer.writerows([["id", "text", "n"], *rows[k::2]])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = A._csv(spark, str(tmp_path), ["id", "text", "n"])
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        found = {r.id: (r.text or "", r.n) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found == {i: (text, n) for i, text, n in rows}
+
+
+def test_broken_lines_go_whatever_is_read(spark, tmp_path):
+    lines = ["\t".join(["x", *B.POST_COLUMNS]), "\t".join("k123456789"), "k\t1", "\t".join("kabcdefghijk"), '"\t' + "\t".join('1"345678"')]
+    (tmp_path / "posts.tsv").write_text("\n".join(lines))
+    rows = B.read_tsv(spark, str(tmp_path / "posts.tsv"), B.POST_COLUMNS)
+    assert sorted(r.id for r in rows.collect()) == ["1", "1"] and rows.select("score").count() == 2
+    assert sorted(r.clean_title for r in rows.collect()) == ['"', "2"]
+    with pytest.raises(ValueError):
+        B.read_tsv(spark, str(tmp_path / "posts.tsv"), ["none"])
+
+
+def test_predictions_keep_the_order_of_their_lines(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("fold,case_id,oof_probability\n" + "".join(f"a,{i % 50},{i / 1000}\n" for i in range(1000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        cases = spark.range(60).withColumnRenamed("id", "case_id")
+        out = {r.case_id: r.risk_score for r in B.import_predictions(B.read_predictions(spark, str(tmp_path)), cases, "k", "v", order="place").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert out == {i: (950 + i) / 1000 for i in range(50)}
+
+
 def test_labelled_posts_and_comments(spark, tmp_path):
     path = tmp_path / "posts.tsv"
     path.write_text("\t".join(B.POST_COLUMNS) + "\n1\t\tRaw title\t0\tsub\t1\t2\t0.5\tTrue\n2\tclean\tx\tnan?\tsub\t1\t2\t0.5\tTrue\n3\t \t \t1\tsub\t1\t2\t0.5\tTrue\n4\tok\tx\t1\tsub\t1\t2\t0.5\tTrue\n")

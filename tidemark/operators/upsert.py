@@ -43,6 +43,7 @@ SCORE_RULES = {c: "new" for c in (
     "model_version", "score_version", "risk_score", "risk_level", "confidence_score", "temporal_score", "coordination_score",
     "content_score", "evidence", "pipeline_hash", "source_endpoint", "computed_at")}
 
+FEATURE_RULES = {c: "new" for c in ("feature_version", "features", "computed_at")}
 
 RUN_RULES = {"source_type": "old", "source_name": "old", "started_at": "old", "status": "new", "finished_at": "known"}
 

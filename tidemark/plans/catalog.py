@@ -7,3 +7,4 @@ from tidemark.plans import post_queries  # noqa: F401
 from tidemark.plans import metric_queries  # noqa: F401
 from tidemark.plans import source_queries  # noqa: F401
 from tidemark.plans import model_queries  # noqa: F401
+from tidemark.plans import file_queries  # noqa: F401

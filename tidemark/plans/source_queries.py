@@ -142,6 +142,11 @@ def s6(t: Tables):
 SELECT '' || post_id AS id, CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END AS label, source_type AS subset_name, 'u' || account_id AS description,
   2::BIGINT AS tweets, 1.0::DOUBLE AS hashtags FROM posts WHERE kind IN ('purchase', 'click')""")
 def s9(t: Tables):
+    return nested_summary(nested_lines(t).select(F.from_json("value", A.NESTED).alias("r")).select("r.*"))
+
+
+def nested_lines(t: Tables):
+    """A record per post as a JSON line."""
     c = F.col
     label = F.when(c("kind") == "purchase", " Bot ").when(c("kind") == "click", "human").otherwise("unsure")
     user = F.struct(F.concat(F.lit("u"), c("account_id").cast("string")).alias("description"))
@@ -152,7 +157,10 @@ def s9(t: Tables):
     line = F.to_json(F.struct(
         c("post_id").cast("string").alias("user_id"), label.alias("label"), c("source_type").alias("dataset"),
         F.array(tweet(no_user, mark), tweet(user, F.array().cast("array<struct<indices:array<int>>>"))).alias("user_tweets")))
-    records = t.posts(False).select(F.from_json(line, A.NESTED).alias("r")).select("r.*")
+    return t.posts(False).select(line.alias("value"))
+
+
+def nested_summary(records):
     users, tweets = A.accounts_from_nested(records)
     counts = tweets.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("tweets"), F.sum("num_hashtags").alias("hashtags"))
     return users.join(counts, "id").select("id", "label", "subset_name", "description", "tweets", "hashtags")
@@ -197,7 +205,7 @@ def account_dataset(t: Tables):
 # -- labelled posts and predictions -----------------------------------------------------------------
 
 
-def labelled_rows(t: Tables):
+def raw_labelled(t: Tables):
     c = F.col
     raw = t.raw("labels").join(t.raw("documents"), "doc_id").select(
         c("doc_id").cast("string").alias("id"), F.when(c("lang") == "en", " ").otherwise(c("text")).alias("clean_title"),
@@ -205,7 +213,11 @@ def labelled_rows(t: Tables):
         c("source").alias("subreddit"), F.lit("1").alias("score"), F.lit("2").alias("num_comments"), F.lit("0.5").alias("upvote_ratio"), F.lit("True").alias("hasImage"))
     # three more rows have a label that is none
     broken = raw.where(c("id").isin("0", "1", "2")).withColumns({"id": F.concat(F.lit("broken"), "id"), "2_way_label": F.lit("n/a")})
-    return B.labelled_posts(raw.unionByName(broken))
+    return raw.unionByName(broken)
+
+
+def labelled_rows(t: Tables):
+    return B.labelled_posts(raw_labelled(t))
 
 
 def comment_rows(t: Tables):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.scores import fixed, risk_level
 from tidemark.functions.text import collapse_spaces, strip_space
+from tidemark.sources.posts import read_lines
 
 # Required columns.
 POST_COLUMNS = ["id", "clean_title", "title", "2_way_label", "subreddit", "score", "num_comments", "upvote_ratio", "hasImage"]
@@ -13,12 +14,21 @@ COMMENT_COLUMNS = ["submission_id", "body", "ups"]
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Tab-separated file with a header; malformed lines are dropped."""
-    found = spark.read.csv(path, sep="\t", header=True, quote="", mode="DROPMALFORMED")
-    missing = sorted(set(columns) - set(found.columns))
+    """Tab-separated files with a header; lines with fewer or more fields than the header are dropped, whatever columns are read later."""
+    found = spark.read.csv(path, sep="\t", header=True, quote="").drop(*_partitions(spark, path)).columns
+    missing = sorted(set(columns) - set(found))
     if missing:
         raise ValueError(f"{path} lacks columns {missing}")
-    return found.select(*columns)
+    kind = ", ".join(f"`{c}` string" for c in found)
+    lines = spark.read.text(path).select("value").where(F.col("value") != "\t".join(found))
+    fields = F.from_csv("value", f"{kind}, __broken string", {"sep": "\t", "quote": "\u0000", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})
+    whole = lines.where(F.regexp_count("value", F.lit("\t")) == len(found) - 1).select(fields.alias("f"))
+    return whole.where("f.__broken IS NULL").select(*[F.col(f"f.`{c}`").alias(c) for c in columns])
+
+
+def _partitions(spark: SparkSession, path: str) -> list[str]:
+    """Names of folders `name=value` below the path: columns that stand in no line."""
+    return [c for c in spark.read.text(path).columns if c != "value"]
 
 
 def labelled_posts(rows: DataFrame, positive_label: int = 0) -> DataFrame:
@@ -85,6 +95,14 @@ def sample_posts(posts: DataFrame, max_rows: int, balanced: bool, seed: int = 42
 # -- predictions ----------------------------------------------------------------------------------
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, and a column `place` that orders their lines as they stand."""
+    columns = [c for c in spark.read.csv(path, header=True).columns if c not in _partitions(spark, path)]
+    lines = read_lines(spark, path).where("line_no > 1")
+    fields = F.from_csv("value", ", ".join(f"`{c}` string" for c in columns)).alias("f")
+    return lines.select(fields, F.struct("file", "line_no").alias("place")).select("f.*", "place")
+
+
 def import_predictions(
     rows: DataFrame, cases: DataFrame, scorer_key: str, model_version: str, threshold: float = 0.5,
     probability: str = "oof_probability", order: str = "line_no", pipeline_hash: Column | None = None,

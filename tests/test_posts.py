@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import post_analysis as P, similarity as S
@@ -48,6 +50,51 @@ def test_similar_posts_against_brute_force(spark):
     assert network[0] >= 1
 
 
+def test_similar_posts_in_clusters_against_all_pairs(spark):
+    """500 texts: two clusters of near-equal ones, chains, copies and texts on their own, with every cosine worked out plainly."""
+    import math
+    import random
+    from collections import Counter
+
+    dice = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for size, changed in ((120, 1), (120, 6), (60, 3)):
+        base = dice.choices(words, k=40)
+        for _ in range(size):
+            own = list(base)
+            for at in dice.sample(range(40), changed):
+                own[at] = dice.choice(words)
+            texts.append(" ".join(own))
+    texts += [" ".join(dice.choices(words, k=dice.randrange(2, 30))) for _ in range(170)] + texts[:30]
+    base = dt.datetime(2024, 1, 1)
+    posts = spark.createDataFrame([(i, i % 7, base, t) for i, t in enumerate(texts)], "post_id bigint, account_id bigint, published_at timestamp, content string")
+    grams = []
+    for t in texts:
+        w = t.split()
+        grams.append(Counter(w + [" ".join(w[i:i + n]) for n in (2, 3) for i in range(len(w) - n + 1)]))
+    df = Counter(g for c in grams for g in c)
+    vectors = []
+    for c in grams:
+        raw = {g: n * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in c.items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        vectors.append({g: v / norm for g, v in raw.items()})
+    got = {}
+    for r in S.similar_posts(posts).collect():
+        got.setdefault(r.post_id, []).append((r.rank, r.similar_post_id, r.similarity))
+    for i, v in enumerate(vectors):
+        near = []
+        for j, u in enumerate(vectors):
+            cosine = 1.0 if texts[i] == texts[j] else round(sum(w * u.get(g, 0) for g, w in v.items()), 6)
+            if i != j and cosine > 0.7:
+                near.append((-cosine, -j))
+        want = [(-c, -j) for c, j in sorted(near)[:10]]
+        found = [(c, j) for _, j, c in sorted(got.get(i, []))]
+        assert [c for c, _ in found] == pytest.approx([c for c, _ in want], abs=2e-6)
+        least = want[-1][0] if want else 0
+        assert {j for c, j in found if c > least + 2e-6} == {j for c, j in want if c > least + 2e-6}
+
+
 def test_trigrams_of_a_word(spark):
     df = spark.createDataFrame([("Cat, cat!",)], "t string")
     assert sorted(df.select(X.trigrams(F.col("t"))).first()[0]) == sorted(["  c", " ca", "cat", "at "])

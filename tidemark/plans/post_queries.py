@@ -173,13 +173,14 @@ def stored_coordination(t: Tables):
     return t.posts(False).select("post_id", (F.col("likes_count") % 11).alias("similar_count"), (F.col("reposts_count") % 5).alias("unique_accounts"))
 
 
-@query("t10_composite_scores", views="posts accounts", sql="WITH " + ",".join(
+def composite_sql(reach: str, joined: str = "", first: str = "") -> str:
+    """`reach` gives sim, ua and coordinated of a post, from the posts or from what is `joined`."""
+    return "WITH " + first + ",".join(
     x.strip() for x in (CONTENT_SQL, BEHAVIOUR_SQL, FACTOR_SQL, VELOCITY_SQL, COMMENT_SQL)) + f""",
 r AS (SELECT p.post_id, p.account_id, c.*, b.suspicious, b.reason, b.total_posts_analyzed, f.account_factor, v.suspicious_velocity, v.engagement_rate_per_hour,
-  coalesce(k.manipulation_ratio, 0) AS cr, coalesce(k.total_comments, 0) AS tc, likes_count % 11 AS sim, reposts_count % 5 AS ua,
-  reposts_count % 5 >= 3 AND likes_count % 11 >= 5 AS coordinated
+  coalesce(k.manipulation_ratio, 0) AS cr, coalesce(k.total_comments, 0) AS tc, {reach}
   FROM posts p JOIN content_scores c ON c.post_id = p.post_id JOIN behaviour b ON b.account_id = p.account_id JOIN factor f ON f.account_id = p.account_id
-  JOIN velocity v ON v.post_id = p.post_id LEFT JOIN comments k ON k.post_id = p.post_id),
+  JOIN velocity v ON v.post_id = p.post_id LEFT JOIN comments k ON k.post_id = p.post_id{joined}),
 s AS (SELECT *, CASE WHEN suspicious THEN 0.7::DOUBLE ELSE 0.2 END AS sb, CASE WHEN coordinated THEN 0.9::DOUBLE WHEN ua > 1 THEN 0.5 ELSE 0.1 END AS so,
   CASE WHEN suspicious_velocity THEN 0.8::DOUBLE ELSE 0.2 END AS se FROM r),
 m AS (SELECT *, content_score * 0.35::DOUBLE + sb * 0.20::DOUBLE + so * 0.25::DOUBLE + cr * 0.10::DOUBLE + se * 0.05::DOUBLE + account_factor * 0.05::DOUBLE AS ms,
@@ -200,9 +201,18 @@ SELECT post_id, account_id, {x3('ms')} AS manipulation_score, {x3('cf')} AS conf
    || CASE WHEN coordinated THEN '🎯 Скоординированная атака; ' ELSE '' END || CASE WHEN suspicious THEN '🎯 Автоматизированная активность; ' ELSE '' END
    || CASE WHEN caps_ratio > 0.3 THEN '🎯 Кричащий заголовок (CAPS LOCK); ' ELSE '' END || CASE WHEN exclamation_count > 5 THEN '🎯 Эмоциональное давление; ' ELSE '' END, '; '), ''),
    '🎯 Слабовыраженные признаки') AS tactics,
-  CASE WHEN ms > 0.8 THEN 1 WHEN ms > 0.6 THEN 2 WHEN ms > 0.4 OR coordinated THEN 3 ELSE 4 END AS advice FROM m""")
+  CASE WHEN ms > 0.8 THEN 1 WHEN ms > 0.6 THEN 2 WHEN ms > 0.4 OR coordinated THEN 3 ELSE 4 END AS advice FROM m"""
+
+
+STORED_REACH = "likes_count % 11 AS sim, reposts_count % 5 AS ua, reposts_count % 5 >= 3 AND likes_count % 11 >= 5 AS coordinated"
+
+
+@query("t10_composite_scores", views="posts accounts", sql=composite_sql(STORED_REACH))
 def t10(t: Tables):
-    out = P.composite_scores(t.posts_table(), t.accounts(), as_of(), stored_coordination(t), NEWEST, CHECKED, KEPT)
+    return composite_rows(P.composite_scores(t.posts_table(), t.accounts(), as_of(), stored_coordination(t), NEWEST, CHECKED, KEPT))
+
+
+def composite_rows(out):
     mark = F.substring("recommendation", 1, 1)
     return out.select(
         "post_id", "account_id", "manipulation_score", "confidence_score", "escalation_priority", "coordination_contribution",
@@ -245,12 +255,17 @@ def t6(t: Tables):
     return S.coordination_network(S.similar_posts(posts), t.posts(False))
 
 
-@query("t10_composite_with_similarity")
+NETWORK = """, net AS (SELECT s.post_id AS post_id, count(*) AS similar_count, count(DISTINCT account_id) AS unique_accounts FROM similar_posts s JOIN posts p ON p.post_id = s.similar_post_id GROUP BY 1), """
+NETWORK_REACH = """coalesce(net.similar_count, 0) AS sim, coalesce(net.unique_accounts, 0) AS ua,
+  coalesce(net.unique_accounts >= 3 AND net.similar_count >= 5, false) AS coordinated"""
+
+
+@query("t10_composite_with_similarity", views="posts accounts", sql=composite_sql(
+    NETWORK_REACH, " LEFT JOIN net ON net.post_id = p.post_id", SIMILAR_SQL.strip() + NETWORK))
 def t10_full(t: Tables):
     posts = t.posts_table()
     network = S.coordination_network(S.similar_posts(posts), t.posts(False))
-    out = P.composite_scores(posts, t.accounts(), as_of(), network, NEWEST, CHECKED, KEPT)
-    return out.drop("key_evidence", "tactics")
+    return composite_rows(P.composite_scores(posts, t.accounts(), as_of(), network, NEWEST, CHECKED, KEPT))
 
 
 TRG = r"""list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''),

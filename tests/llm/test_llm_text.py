@@ -194,6 +194,8 @@ def test_scores_do_not_depend_on_other_columns_or_rows(spark):
 # --- page text
 
 
+TOLD = ["A day to remember", "It was a fine day and the long paragraph goes on with many words for the reader to see here.", "Another paragraph follows, and it has enough words to be read as well."]
+STORY = f"<h1>{TOLD[0]}</h1><p>{TOLD[1]}</p><p>{TOLD[2]}</p>"
 MAIN = [
     ("<html><head><title>No</title></head><body><header><h1>Site</h1><ul><li><a href=x>Home</a></li></ul></header><div class='cookie-notice'>We use cookies. "
      "<button>OK</button></div><div id='main'><h1>The big story of the day</h1><p>It was a fine day and the long paragraph goes on with many words for the reader "
@@ -208,6 +210,16 @@ MAIN = [
     ("<article><p>open <b>never closed<p>second<!-- <p>no --><style>p{}", ["open never closed", "second"]),
     ("<article><div class='share-bar'>Share this with friends</div><ul><li>point one<li>point two</ul><table><tr><td>a<td>b</table></article><div class=ad>Buy it.</div>",
      ["point one", "point two", "a", "b"]),
+    *[(page, TOLD) for page in (
+        f"<body class='has-sidebar'>{STORY}", f"<body class='has-sidebar'><article>{STORY}</article>", f"<div class='with-sidebar'><article>{STORY}</article></div>",
+        f"<article class='no-comments'>{STORY}</article>", f"<form id=page>{STORY}</form>", f"<form><article>{STORY}</article></form>",
+        f"<body id=search><div class='sidebar-left layout'><main>{STORY}</main></div>", f"<svg><article>{STORY}</article>", f"<canvas>{STORY}",
+        f"<article><svg><text>no</text></svg>{STORY}<select><option>a</select></article>")],
+    ("<article><h2 id='search-results'>Results of the search</h2><p id='ad-hoc-query'>The query was made by hand and it took a long time to run.</p>"
+     "<div class='related-work'><p>Others have looked at the same question before and found some of the answers.</p></div></article>",
+     ["Results of the search", "The query was made by hand and it took a long time to run.", "Others have looked at the same question before and found some of the answers."]),
+    ("<article><p>The area is <math><mi>a</mi><mo>+</mo><mn>2</mn></math> for every one of them.</p><p>After that the text goes on for some time.<ul><li><a href=1>one</a>"
+     "<li><a href=2>two of them</a><li><a href=3>three</a></ul></article>", ["The area is a+2 for every one of them.", "After that the text goes on for some time."]),
     ("", []), (None, []), ("   ", []), ("<article></article>", []), ("<article>5 < 6 &lt;b&gt; &unknown; a</article>", ["5 < 6 <b> &unknown; a"]),
     ("<article>" + "<p>word</p>" * 3_000 + "</article>", ["word"] * 3_000),
 ]
@@ -225,8 +237,22 @@ def test_main_text_of_nothing(spark):
     assert html_text.extract_text(spark.createDataFrame([], "html string")).count() == 0
 
 
+def test_the_tree_looks_at_words_and_links_within_an_article(spark):
+    tree = html_text.trained_tree(spark)
+
+    def features(node, article):
+        if isinstance(node, float):
+            return set()
+        k, at, below, above = node
+        if html_text.FEATURES[k] == "article":
+            return features(above if article else below, article)
+        return {html_text.FEATURES[k]} | features(below, article) | features(above, article)
+
+    assert {"words", "named", "asides"} <= features(tree, True) and features(tree, True) & {"links", "links_before", "links_after"}
+
+
 def test_broken_markup_takes_linear_time():
-    for html in ("<a href=\"" * 20_000, "<!--" * 20_000, "<script>" * 20_000, "<div>" * 20_000, "<p" * 50_000, "</b>" * 20_000):
+    for html in ("<svg>" * 20_000, "<svg>" * 10_000 + "</svg>" * 10_000, "<a href=\"" * 20_000, "<!--" * 20_000, "<script>" * 20_000, "<div>" * 20_000, "<p" * 50_000, "</b>" * 20_000):
         html_text.blocks(html)
 
 

@@ -100,6 +100,32 @@ def test_trigrams_of_a_word(spark):
     assert sorted(df.select(X.trigrams(F.col("t"))).first()[0]) == sorted(["  c", " ca", "cat", "at "])
 
 
+def test_trigram_matches_of_many_targets(spark):
+    import random
+
+    dice = random.Random(8)
+    words = ["cat", "dogs", "bird", "a", "mouse", "elephant", "catfish", ""]
+    texts = [" ".join(dice.choices(words, k=dice.randrange(5))) for _ in range(60)] + [None, "!!"]
+    posts = spark.createDataFrame(list(enumerate(texts)), "post_id long, content string")
+    targets = posts.where("post_id % 3 = 0 OR content IS NULL").withColumnRenamed("post_id", "target_id")
+
+    def grams(text):
+        return {f"  {w} "[i:i + 3] for w in (text or "").split() for i in range(len(w) + 1)} if text != "!!" else set()
+
+    want = {}
+    for i, t in enumerate(texts):
+        if (i % 3 == 0 or t is None) and grams(t):
+            near = sorted((-len(grams(t) & grams(u)) / len(grams(t) | grams(u)), j) for j, u in enumerate(texts) if grams(u))
+            want[i] = [(j, -s) for s, j in near if -s >= 0.4][:7]
+    for block in (256, 4):
+        got = {}
+        for r in S.trigram_matches(posts, targets, 0.4, 7, block).orderBy("target_id", "rank").collect():
+            got.setdefault(r.target_id, []).append((r.post_id, r.similarity))
+        assert {k: [j for j, _ in v] for k, v in got.items()} == {k: [j for j, _ in v] for k, v in want.items()}
+        assert all(s == pytest.approx(w) for k in got for (_, s), (_, w) in zip(got[k], want[k]))
+    assert S.trigram_matches(posts, targets.limit(0)).isEmpty()
+
+
 def test_retweet_prefixes(spark):
     from tidemark.functions.lexicons import RETWEET_PREFIXES
 

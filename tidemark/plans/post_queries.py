@@ -285,6 +285,20 @@ def j14(t: Tables):
     return out.select("post_id", "account_id", r6("similarity").alias("similarity"))
 
 
+@query("j14_trigram_matches_of_a_case", views="posts", sql=f"""
+WITH g AS (SELECT post_id, case_id, {TRG.format('content')} AS t FROM posts),
+e AS MATERIALIZED (SELECT post_id, len(t) AS n, unnest(t) AS w FROM g), q AS MATERIALIZED (SELECT post_id AS target_id, len(t) AS m, unnest(t) AS w FROM g WHERE case_id = 7),
+s AS (SELECT target_id, post_id, count(*) AS sh, any_value(n) AS a, any_value(m) AS b FROM e JOIN q USING (w) GROUP BY ALL),
+j AS (SELECT target_id, post_id, sh::DOUBLE / (a + b - sh) AS similarity FROM s)
+SELECT target_id, post_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY target_id ORDER BY j.similarity DESC, post_id)::INTEGER AS rank
+FROM j WHERE j.similarity >= 0.3 QUALIFY rank <= 100""")
+def j14_case(t: Tables):
+    """All posts of a case at once, looked up among all posts."""
+    posts = t.posts_table()
+    out = S.trigram_matches(posts, posts.where("case_id = 7").select(F.col("post_id").alias("target_id"), "content"))
+    return out.withColumn("similarity", r6("similarity"))
+
+
 @query("n1_normal_forms", views="posts", sql=rf"""
 WITH n AS (SELECT post_id, trim(regexp_replace(lower(content), '(?:https?://[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+|[^\p{{L}}\p{{N}}_@])+', ' ', 'g')) AS a,
  trim(regexp_replace(regexp_replace(lower(content), '[^\p{{L}}\p{{Nd}}\t-\r\x1c-\x20\x{{85}}\p{{Z}}]', '', 'g'), '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+', ' ', 'g')) AS b,

@@ -58,3 +58,19 @@ def test_replies_find_parents_that_come_later(spark):
     rows = [(1, 1, "a", "b"), (2, 1, "b", ""), (3, 2, "c", "b")]
     posts = spark.createDataFrame(rows, "post_id bigint, source_id int, external_id string, reply_to_external_id string").withColumn("reply_to_post_id", F.lit(None).cast("bigint"))
     assert {r.post_id: r.reply_to_post_id for r in U.resolve_replies(posts).collect()} == {1: 2, 2: None, 3: None}
+
+
+def test_objects_of_any_shape_are_merged(spark):
+    """Nested values are taken or kept as a whole; a replay changes nothing; nulls and what is no object have no entries."""
+    import json
+
+    def rows(*pairs):
+        return spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(pairs)], "id string, seq int, t string").select("id", F.parse_json("t").alias("metadata"), "seq")
+
+    base = rows(("a", '{"x":{"y":1,"z":[1,2]},"keep":true}'), ("b", None), ("c", "5"), ("d", '{"only":"base"}')).drop("seq")
+    batch = rows(("a", '{"x":{"w":null}}'), ("a", '{"n":1.5}'), ("b", '{"k":{}}'), ("c", None), ("e", "[1]"), ("e", '{"m":"é"}'), ("f", None))
+    once = U.upsert(base, batch, ["id"], {"metadata": "merged"}, "seq")
+    twice = U.upsert(once, batch, ["id"], {"metadata": "merged"}, "seq")
+    want = {"a": {"x": {"w": None}, "keep": True, "n": 1.5}, "b": {"k": {}}, "c": None, "d": {"only": "base"}, "e": {"m": "é"}, "f": None}
+    for out in (once, twice):
+        assert {r.id: r.j and json.loads(r.j) for r in out.select("id", F.to_json("metadata").alias("j")).collect()} == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.skew import salted_join
 from tidemark.schema import violations
@@ -11,7 +11,8 @@ from tidemark.schema import violations
 #   new      the batch wins                     old      the base wins
 #   filled   the batch wins unless blank        known    the batch wins unless null
 #   least / greatest   smaller / larger, nulls ignored
-#   either   true if either is true             merged   map entries of the batch over the base's
+#   either   true if either is true             merged   entries of the batch over the base's, of a map or of a VARIANT
+#                                                        object: values may be nested and are taken or kept as a whole
 RULES = ("new", "old", "filled", "known", "least", "greatest", "either", "merged")
 
 SOURCE_RULES = {"api_endpoint": "filled", "is_active": "new"}
@@ -106,8 +107,17 @@ def collapse_batch(batch: DataFrame, keys: list[str], rules: dict[str, str], ord
     return out.select(*keys, *[picked.get(c, F.col(c)).alias(c) for c in columns])
 
 
+def _open(df: DataFrame, columns: list[str]) -> DataFrame:
+    """VARIANT objects as maps of their entries; what is no object has none."""
+    return df.withColumns({c: F.expr(f"CASE WHEN schema_of_variant(`{c}`) LIKE 'OBJECT%' THEN try_cast(`{c}` AS MAP<STRING, VARIANT>) END") for c in columns})
+
+
 def upsert(base: DataFrame, batch: DataFrame, keys: list[str], rules: dict[str, str], order: str | None = None) -> DataFrame:
     """Base with the batch merged in. Without `order` the batch must hold each key once."""
+    objects = [c for c in base.columns if rules.get(c) == "merged" and isinstance(base.schema[c].dataType, T.VariantType)]
+    if objects:
+        out = upsert(_open(base, objects), _open(batch, objects), keys, rules, order)
+        return out.withColumns({c: F.expr(f"to_variant_object(`{c}`)") for c in objects})
     columns = [c for c in base.columns if c not in keys]
     unknown = [c for c in columns if c not in rules]
     if unknown:

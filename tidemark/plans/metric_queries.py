@@ -294,6 +294,30 @@ def u2(t: Tables):
         "first_event_at", "last_event_at", "closed_at")], F.array_join(entries, ",").alias("metadata"))
 
 
+@query("u2_case_metadata", views="posts", sql="""
+WITH e AS (SELECT 'h' || hour(published_at) AS external_case_id, post_id, unnest([
+    {'k': kind, 'v': '{"at":{"id":"' || external_id || '","likes":' || likes_count || '}}'},
+    {'k': 'last', 'v': CASE WHEN post_id % 3 = 0 THEN 'null' ELSE '[' || post_id || ',true]' END}]) AS x FROM posts WHERE kind <> 'view'),
+l AS (SELECT external_case_id, x.k AS k, arg_max(x.v, post_id) AS v FROM e GROUP BY 1, 2)
+SELECT external_case_id, '{' || string_agg('"' || k || '":' || v, ',' ORDER BY k) || '}' AS metadata FROM l GROUP BY 1""")
+def u2_metadata(t: Tables):
+    """Open-ended metadata: objects of any shape; entries of the newer half go over those of the older one, nested values as a whole."""
+    c = F.col
+
+    def rows(posts):
+        detail = F.to_json(F.struct(F.struct(c("external_id").alias("id"), c("likes_count").alias("likes")).alias("at")))
+        last = F.when(c("post_id") % 3 == 0, "null").otherwise(F.concat(F.lit("["), c("post_id").cast("string"), F.lit(",true]")))
+        text = F.when(c("kind") == "view", "17").otherwise(F.concat(F.lit('{"'), "kind", F.lit('":'), detail, F.lit(',"last":'), last, F.lit("}")))
+        return posts.select(F.concat(F.lit("h"), F.hour("published_at").cast("string")).alias("external_case_id"), F.parse_json(text).alias("metadata"), c("post_id").alias("seq"))
+
+    old, new = (rows(p) for p in _halves(t))
+    empty = old.where(F.lit(False)).drop("seq")
+    rules = {"metadata": "merged"}
+    base = U.upsert(empty, old, ["external_case_id"], rules, "seq")
+    out = U.upsert(base, new, ["external_case_id"], rules, "seq")
+    return out.where(c("metadata").isNotNull()).select("external_case_id", F.to_json("metadata").alias("metadata"))
+
+
 @query("u1_sources", views="posts", sql="""
 SELECT kind AS name, coalesce(arg_max(external_id, post_id) FILTER (WHERE post_id % 2 = 0), arg_min('', post_id)) AS api_endpoint, true AS is_active FROM posts GROUP BY 1""")
 def u1(t: Tables):

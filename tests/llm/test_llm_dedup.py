@@ -45,6 +45,14 @@ def test_shards_differ_by_one_row_at_most_and_slots_have_no_gaps(spark):
     assert len({r.shard for r in rows if r.text == "Hello world"}) >= 5
 
 
+def test_a_task_holds_few_buckets_however_many_there_are(spark):
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
+    rows, n, buckets = sharding.shuffled(docs, F.octet_length("text"), bucket_bytes=4_000)
+    assert (n, buckets) == (4_000, 100) and rows.select("bucket").distinct().count() == 100
+    held = rows.groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("bucket").alias("n")).collect()
+    assert len(held) > 40 and max(r.n for r in held) <= 8  # 4 partitions are the session's default
+
+
 def test_shards_of_nothing_and_of_few_rows(spark):
     assert sharding.shard(none(spark), F.octet_length("text"), 5).count() == 0
     few = sharding.shard(documents(spark, TEXTS[:3]), F.octet_length("text"), 5).select("place.shard", "place.slot").collect()
@@ -300,3 +308,12 @@ def test_runs_tell_new_hashes_and_compact(spark):
     runs.add(batch((3, 3, 5, 30)))
     total = sorted(tuple(r) for r in runs.merged(runs.all()).collect())
     assert total == [(1, 1, 3, 50), (2, 2, 1, 51), (3, 3, 6, 41)]
+
+
+def test_indexes_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "INDEX_ROWS", 100)
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), (F.col("id") % 1_500).cast("string").alias("text"))
+    marked = exact_dedup.mark_copies(docs, ["doc_id"])
+    assert sum(r.copy.kept for r in marked.collect()) == 1_500
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 20)" in plan

@@ -161,6 +161,63 @@ def test_factors_learn_pairs():
     assert model.factors[at[0]] @ model.factors[at[1]] > 0.5  # the pair itself
 
 
+def test_pairs_of_terms_that_are_neutral_alone():
+    """Toxic if both or neither of two terms occur, among noise and copies: no term has an effect of its own."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(4_000):
+        has = [k for k in (1, 2) if rng.random() < 0.5]
+        rows.append((int(len(has) != 1), np.array(sorted({*has, *(10 + rng.randrange(80) for _ in range(8))}), np.int32)))
+    rows += [(1, rows[0][1])] * 300
+    model = toxicity.fit(np.array([y for y, _ in rows]), [t for _, t in rows])
+    assert {1, 2} <= set(model.place) and len(model.place) <= 12
+    at = [model.place[1], model.place[2]]
+    assert model.score(at) > 0.8 and model.score([]) > 0.8 and model.score(at[:1]) < 0.2 and model.score(at[1:]) < 0.2
+
+
+def plain_fit(labels, terms, chosen):
+    """The same machine with a matrix of documents and terms, every pair of factors multiplied out, one document after the other."""
+    x = np.array([[float(t in set(d.tolist())) for t in chosen] for d in terms])
+    n, k = x.shape
+    rng = np.random.default_rng(6)
+    rate = (labels.sum() + 1) / (n + 3)
+    b, w, v = np.log(rate / (1 - rate)), np.zeros(k), rng.normal(0, 0.01, (k, toxicity.FACTORS))
+    gb, gw, gv = 1e-6, np.full(k, 1e-6), np.full(v.shape, 1e-6)
+    for _ in range(toxicity.EPOCHS):
+        order = rng.permutation(n)
+        for low in range(0, n, toxicity.BATCH):
+            part = order[low:low + toxicity.BATCH]
+            db, dw, dv = 0.0, np.zeros(k), np.zeros(v.shape)
+            for d in part:
+                logit = b + x[d] @ w + sum(x[d, i] * x[d, j] * (v[i] @ v[j]) for i in range(k) for j in range(i))
+                g = (1 / (1 + np.exp(-logit)) - labels[d]) / len(part)
+                db += g
+                dw += g * x[d]
+                dv += g * np.outer(x[d], x[d] @ v) - g * x[d][:, None] * v
+            seen = x[part].any(axis=0)
+            dw[seen] += toxicity.DECAY * w[seen]
+            dv[seen] += toxicity.DECAY * v[seen]
+            gb, gw, gv = gb + db ** 2, gw + dw ** 2, gv + dv ** 2
+            b -= toxicity.RATE * db / np.sqrt(gb)
+            w -= toxicity.RATE * dw / np.sqrt(gw)
+            v -= toxicity.RATE * dv / np.sqrt(gv)
+    return b, w, v
+
+
+def test_the_machine_equals_a_plain_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(400):
+        found = {t for t in range(1, 13) if rng.random() < 0.35}
+        rows.append((int({1, 2} <= found or 3 in found and rng.random() < 0.7), np.array(sorted(found), np.int32)))
+    labels, terms = np.array([y for y, _ in rows]), [t for _, t in rows]
+    model = toxicity.fit(labels, terms)
+    assert {1, 2, 3} <= set(model.place)
+    b, w, v = plain_fit(labels, terms, sorted(model.place, key=model.place.get))
+    assert model.bias == pytest.approx(b, abs=1e-8) and model.weights == pytest.approx(w, abs=1e-8) and model.factors == pytest.approx(v, abs=1e-8)
+
+
 def test_models_of_no_labels_and_of_one_class(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 0, None), (2, 0, 0), (None, 0, 1), (999, 0, 1)], "doc_id long, quality int, toxic int")
@@ -178,6 +235,8 @@ def test_held_out_toxic_documents(spark):
     held = [r for r in rows if r.held_out]
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert sum(r.predicted and not r.toxic for r in held) <= 2 and sum(r.predicted and r.toxic for r in held) >= 3
+    toxic, clean = [[r.score for r in held if r.toxic == y] for y in (1, 0)]
+    assert np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean]) > 0.95  # area under the curve
 
 
 def test_scores_do_not_depend_on_other_columns_or_rows(spark):

@@ -13,6 +13,8 @@ from tidemark.llm.common import BLANKS, query, staged, table
 
 #: Copies of one text are added up in at most so many parts before they meet in one index.
 PARTS = 32
+#: Changes that one index gets, on average, at most.
+INDEX_ROWS = 1_000_000
 
 DIGEST = "digest string, n bigint, first struct<minus_chars:bigint,no_id:boolean,id:{id},uid:bigint>"
 
@@ -127,15 +129,18 @@ def place(first: dict) -> tuple:
     return first["minus_chars"], first["no_id"], first["id"] or 0 if not first["no_id"] else 0, first["uid"]
 
 
-def update_index(changes: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def update_index(changes: DataFrame, index: DataFrame | None = None, n_rows: int = 0) -> DataFrame:
     """The live digests after `changes`, both with columns digest, n (copies; below 0: withdrawn) and first.
 
     `first` describes the copy that stays: more characters before fewer, then the smaller id (null last), then uid.
-    It stays while any copy of its digest is live. Changes with one digest may come in any order.
+    It stays while any copy of its digest is live. Changes with one digest may come in any order. With about `n_rows` of them there
+    are so many indexes that each gets INDEX_ROWS at most, however many partitions the session takes for a shuffle.
     """
     rows = changes if index is None else index.unionByName(changes)
     kind = rows.schema["first"].dataType["id"].dataType.simpleString()
-    return rows.select("digest", "n", "first").repartition("digest").mapInArrow(fold, DIGEST.format(id=kind))
+    spark = rows.sparkSession
+    indexes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // INDEX_ROWS))
+    return rows.select("digest", "n", "first").repartition(indexes, "digest").mapInArrow(fold, DIGEST.format(id=kind))
 
 
 def mark_copies(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id", into: str = "copy") -> DataFrame:
@@ -148,7 +153,8 @@ def mark_copies(docs: DataFrame, carry: list[str], text: str = "text", doc_id: s
 
     Rows with digests are written once. Copies are summed up in PARTS parts per digest before the shuffle to the
     indexes, so a text with a third of all rows gives an index PARTS rows; the join of the decisions back to the
-    rows has one row per digest on one side, and Spark splits the other one where it is skewed.
+    rows has one row per digest on one side, and Spark splits the other one where it is skewed. Texts are hashed whole, whatever
+    their length, and only their digests move.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = staged(docs.select(
@@ -158,7 +164,7 @@ def mark_copies(docs: DataFrame, carry: list[str], text: str = "text", doc_id: s
     first = F.struct((-F.col("chars")).alias("minus_chars"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("uid"))
     parts = rows.groupBy("digest", F.pmod(F.xxhash64("uid"), F.lit(PARTS)).alias("part")) \
         .agg(F.count("*").alias("n"), F.min(first).alias("first"))
-    groups = update_index(parts.select("digest", "n", "first"))
+    groups = update_index(parts.select("digest", "n", "first"), n_rows=rows.count())  # the rows by the files' footers
     copy = F.struct("digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"),
                     (F.col("uid") == F.col("first.uid")).alias("kept"))
     return rows.join(groups, "digest").select("row.*", copy.alias(into))

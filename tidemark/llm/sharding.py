@@ -23,14 +23,15 @@ def shuffled(df: DataFrame, size: Column, bucket_bytes: int = BUCKET_BYTES, seed
 
     First pass: rows get a number and are written; a seeded hash of the number deals them evenly to buckets, whatever
     their content, and, as the number is in a file, deals them alike if a task is repeated. Second pass: each
-    bucket is put in order of the numbers, shuffled by Fisher-Yates (Spark's shuffle()) and written.
+    bucket is put in order of the numbers, shuffled by Fisher-Yates (Spark's shuffle()) and written. There are as many
+    partitions as buckets, so a task holds a bucket or a few however many rows there are. A very long text is in one bucket, whole.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     numbered = staged(df.select(row.alias("row"), F.monotonically_increasing_id().alias("uid"), size.alias("size")), "numbered")
     n, total = numbered.agg(F.count("*"), F.sum("size")).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes))
     dealt = numbered.select(F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(buckets)).alias("bucket"), F.struct("uid", "row").alias("r"))
-    lists = dealt.groupBy("bucket").agg(F.collect_list("r").alias("rs"))
+    lists = dealt.repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list("r").alias("rs"))
     mixed = lists.select("bucket", F.posexplode(F.shuffle(F.array_sort("rs", by_uid), seed)).alias("pos", "r"))
     return staged(mixed.select("bucket", F.col("pos").cast("bigint").alias("pos"), F.col("r.row").alias("row")), "shuffled"), n, buckets
 

@@ -22,8 +22,8 @@ FACTORS = 8
 #: Terms need so many documents, and so many standard errors between the classes, to enter the model.
 MIN_DOCUMENTS, MIN_Z = 3, 3.0
 #: Terms that are neutral alone enter the model with a partner: so many of the most frequent ones, each in so many documents, are held
-#: against each other and against the clearest terms; a pair must part the classes by so many standard errors.
-PAIR_TERMS, CLEAR_TERMS, PAIR_DOCUMENTS, MIN_PAIR_Z = 1_500, 500, 30, 8.0
+#: against each other; a pair must part the classes by so many standard errors.
+PAIR_TERMS, PAIR_DOCUMENTS, MIN_PAIR_Z = 1_500, 30, 8.0
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.1, 1e-4
 PREFIXES = range(3, 8)
 #: Words of a task whose terms are remembered.
@@ -68,34 +68,32 @@ class Model:
 
 
 def paired(labels: np.ndarray, terms: list[np.ndarray], counts: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Terms without an effect of their own that occur together with another term more in one class than in the other.
+    """Terms without an effect of their own that occur together with another such term more in one class than in the other.
 
     What is compared is the covariance of two terms in each class. Equal sets of terms count once: copies are no evidence.
     """
     flat = np.flatnonzero((counts >= PAIR_DOCUMENTS) & (z < MIN_Z))
     flat = flat[np.argsort(-counts[flat], kind="stable")][:PAIR_TERMS]
-    clear = np.flatnonzero((counts >= MIN_DOCUMENTS) & (z >= MIN_Z))
-    clear = clear[np.argsort(-z[clear], kind="stable")][:CLEAR_TERMS]
     distinct = list({(int(y), t.tobytes()): t for y, t in zip(labels, terms)}.items())
     column = np.full(len(counts), -1, np.int32)
-    column[np.concatenate([flat, clear])] = np.arange(len(flat) + len(clear))
+    column[flat] = np.arange(len(flat))
     covariance, error = [], []
     for y in (1, 0):
         docs = [column[t] for (label, _), t in distinct if label == y]
         n = len(docs)
         if not n or not len(flat):
             return flat[:0]
-        x = np.zeros((n, len(flat) + len(clear)), np.float32)
+        x = np.zeros((n, len(flat)), np.float32)
         for d, found in enumerate(docs):
             x[d, found[found >= 0]] = 1
         p = x.mean(axis=0, dtype=np.float64)
-        both = x[:, :len(flat)].T @ x / n - np.outer(p[:len(flat)], p)
+        both = x.T @ x / n - np.outer(p, p)
         spread, skew = p * (1 - p), 1 - 2 * p
         covariance.append(both)
-        error.append((np.outer(spread[:len(flat)], spread) + both * np.outer(skew[:len(flat)], skew)) / n)
+        error.append((np.outer(spread, spread) + both * np.outer(skew, skew)) / n)
     apart = np.abs(covariance[0] - covariance[1]) / np.sqrt(np.maximum(error[0] + error[1], 1e-9))
-    apart[np.arange(len(flat)), np.arange(len(flat))] = 0
-    return flat[apart.max(axis=1) >= MIN_PAIR_Z]
+    np.fill_diagonal(apart, 0)
+    return flat[apart.max(axis=1) >= MIN_PAIR_Z] if len(flat) else flat
 
 
 def fit(labels: np.ndarray, terms: list[np.ndarray]) -> Model:

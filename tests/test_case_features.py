@@ -84,3 +84,27 @@ def test_bot_profile_counts_and_root(spark):
     f = C.case_features(posts, tags, links, scores).first()
     assert (f.bot_account_count, f.bot_score_mean, f.bot_high_share, f.root_author_bot_score, f.bot_top_score_2, f.bot_top_score_3) == (2.0, 0.5, 0.5, 0.75, 0.25, 0.0)
     assert "bot_score_max=0.750" in f.evidence and "bot_high_share=0.500" in f.evidence
+
+
+def test_parts_of_a_case_change_nothing(spark, monkeypatch):
+    random.seed(9)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "rumour", "fake", "why", "now"]
+    rows = [(i, i % 2, i % 11, i * 30, i % 40 == 0, (i - 1) if i % 4 else None, " ".join(random.choices(words, k=4))) for i in range(1, 120)]
+    data = frames(spark, rows, [(i, f"t{i % 3}") for i in range(1, 120)])
+    features = lambda: [[round(v, 9) if isinstance(v, float) else v for v in r] for r in C.case_features(*data).drop("evidence").orderBy("case_id").collect()]
+    first = lambda: C.case_features_v1(*data).drop("evidence").orderBy("case_id").collect()
+    whole, whole_v1 = features(), first()
+    kinds = {c: len({w for r in rows if r[1] == c for w in r[6].split()} - {""}) for c in (0, 1)}
+    uses = {c: sum(len(set(r[6].split())) for r in rows if r[1] == c) for c in (0, 1)}
+    assert {r.case_id: r.lexical_diversity for r in C.case_features(*data).collect()} == {c: kinds[c] / uses[c] for c in (0, 1)}
+    monkeypatch.setattr(C, "POSTS_PER_PART", 7)
+    assert features() == whole and first() == whole_v1
+
+
+def test_tokens_are_moved_once(spark):
+    """One row per post and key leaves the join, and none per post and token."""
+    posts = [(i, 1, i % 5, i, i == 1, None, " ".join(f"word{i}x{k}" for k in range(50))) for i in range(1, 21)]
+    met = frames(spark, posts)[0].selectExpr("*", "transform(split(content, ' '), w -> xxhash64(w)) AS tokens", "0 AS __salt", "1 AS __salts")
+    long = C._part_rows(met, {"account": ("account_id", "true")}, {"reply": "reply_to_post_id IS NOT NULL"}, "NOT is_case_root", {}, "tokens")
+    got = {(r.kind, r.key): r.n for r in C._summed(long).collect()}
+    assert long.count() == 20 + 3 and got[C.KINDS.index("token_kinds"), 0] == 1000 and got[C.KINDS.index("account"), 0] == 4

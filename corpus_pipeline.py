@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, pieces, shingle_dedup
+from tidemark.llm import decontaminate, exact_dedup, pieces, shingle_dedup, simhash
 from tidemark.llm import toxicity as toxic
-from tidemark.llm.common import configure, staged, table
+from tidemark.llm.common import configure, release, scratch, staged, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group linked by SimHash fingerprints at most 4 bits apart; then one of each group of the rest
+    linked by five-word shingles with a similarity of 0.8 or more, most of which fingerprints leave apart."""
     configure(spark)
-    return shingle_dedup.drop_similar(docs)
+    with scratch() as keep:
+        apart = keep(staged(simhash.drop_near_copies(docs), "simhash-apart"))
+    out = shingle_dedup.drop_similar(apart)
+    release(apart)  # the result reads the stages of the shingles
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,12 @@ def test_stages_take_odd_tables(spark, empty):
 
 def test_the_stages_are_the_named_ones():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_by_fingerprint_go(spark):
+    """Texts that repeat one passage have one fingerprint, though few of their different shingles are the same."""
+    passage = " ".join(f"w{k}" for k in range(9))
+    texts = [(i, " ".join([passage] * 100 + [f"tail{i}x{k}" for k in range(20)])) for i in (1, 2, 3)] + [(4, "quite another text of a few words")]
+    docs = documents(spark, texts)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()) == [1, 4]
+    assert len(plain_similar(texts)[0]) == 4 and len({c for _, c in plain_similar(texts)[0]}) == 4  # the shingles alone leave them apart

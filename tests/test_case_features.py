@@ -108,3 +108,21 @@ def test_tokens_are_moved_once(spark):
     long = C._part_rows(met, {"account": ("account_id", "true")}, {"reply": "reply_to_post_id IS NOT NULL"}, "NOT is_case_root", {}, "tokens")
     got = {(r.kind, r.key): r.n for r in C._summed(long).collect()}
     assert long.count() == 20 + 3 and got[C.KINDS.index("token_kinds"), 0] == 1000 and got[C.KINDS.index("account"), 0] == 4
+
+
+def test_common_tokens_are_moved_as_two_bytes_without_loss(spark):
+    low = [7, 7 + 2**16, -5, 2**40]  # the first two share a slot
+    df = spark.createDataFrame([(1, low), (2, [7, 7 + 2**20, 0, 1]), (3, []), (4, None)], "id int, tokens array<bigint>")
+    common = C.common_tokens(F.col("tokens"), df.where("id = 1"))
+    got = {r.id: (r.s.common, r.s.rare) for r in df.select("id", C.split_tokens(F.col("tokens"), common).alias("s")).collect()}
+    assert got[3] == ([], []) and got[4] == (None, None)
+    decode = lambda codes: [common[c + C.COMMON_TOKENS // 2] for c in codes]
+    assert all(sorted(decode(got[i][0]) + got[i][1]) == sorted(r) for i, r in ((1, low), (2, [7, 7 + 2**20, 0, 1])))
+    assert len(got[1][0]) == 3  # one of the two in a slot keeps its id
+    posts = [(i, 1, i, i, i == 1, None, " ".join(f"word{(i * k) % 90}" for k in range(60))) for i in range(1, 9)]
+    f = C.case_features(*frames(spark, posts)).first()
+    sets = [set(p[6].split()) for p in posts]
+    shared = [len(s & sets[0]) / len(s | sets[0]) for s in sets[1:]]
+    assert f.root_jaccard_max == pytest.approx(max(shared)) and f.root_jaccard_mean == pytest.approx(sum(shared) / 7)
+    assert f.lexical_diversity == pytest.approx(len(set().union(*sets)) / sum(map(len, sets)))
+    assert "smallint" in dict(df.select(C.split_tokens(F.col("tokens"), common).alias("s")).dtypes)["s"]

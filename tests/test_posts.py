@@ -132,3 +132,37 @@ def test_retweet_prefixes(spark):
     texts = ["rt @a hi", "  rt @a", "rt ", "rt", "via@x", " \u00a0mt b", "art @", "“@you", "via  \n"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.leads_with(F.col("t"), RETWEET_PREFIXES)).collect()]
     assert got == [t.strip().startswith(tuple(RETWEET_PREFIXES)) for t in texts]
+
+
+def test_text_helpers_search_a_text_once(spark):
+    def plan(column):
+        return spark.createDataFrame([("x",)], "t string").select(column.alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+
+    t = F.col("t")
+    leads = plan(X.leads_with(t, ["rt ", "rt@", "via "]))
+    assert leads.lower().count("rlike") == 1 and "replace" not in leads
+    assert plan(X.contains_any(t, ["claim", "claims", "unclaimed", "hoax"])).count("Contains") == 2
+    texts = ["", " ", "\u2003 a\n b \u0085\n", "rt", "a\tb", "\n\n", "x\u2028", "\U0001f600 b "]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.strip_space(t).alias("s"), X.has_text(t).alias("h"), X.trigrams(t).alias("g")).collect()
+    for r in rows:
+        assert r.s == r.t.strip() and r.h == (r.t.strip() != "")
+        words = {w for w in "".join(c if c.isalnum() else " " for c in r.t).split()}
+        assert sorted(r.g) == sorted({f"  {w} "[i:i + 3] for w in words for i in range(len(w) + 1)})
+
+
+def test_one_block_of_targets_is_looked_up_without_writing(spark, monkeypatch):
+    posts = spark.createDataFrame([(i, f"some words about case {i % 3}") for i in range(12)], "post_id bigint, content string")
+    targets = posts.where("post_id < 3").select(F.col("post_id").alias("target_id"), "content")
+    written = []
+    monkeypatch.setattr(S, "staged", lambda df, name: written.append(name) or df.localCheckpoint())
+    rows = lambda block: [tuple(r) for r in S.trigram_matches(posts, targets, block=block).orderBy("target_id", "rank").collect()]
+    whole = rows(256)
+    assert written == ["targets"] and rows(1) == whole and "trigrams" in written
+
+
+def test_trigrams_are_cut_once_per_post(spark):
+    posts = spark.createDataFrame([(1, "some words"), (2, "some word"), (3, None), (4, "else")], "post_id bigint, content string")
+    target = spark.createDataFrame([("some words",)], "c string").select(X.trigrams(F.col("c"))).scalar()
+    found = S.trigram_lookup(posts, target)
+    assert [r.post_id for r in found.collect()] == [1, 2]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(content") == 1

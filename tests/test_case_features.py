@@ -126,3 +126,21 @@ def test_common_tokens_are_moved_as_two_bytes_without_loss(spark):
     assert f.root_jaccard_max == pytest.approx(max(shared)) and f.root_jaccard_mean == pytest.approx(sum(shared) / 7)
     assert f.lexical_diversity == pytest.approx(len(set().union(*sets)) / sum(map(len, sets)))
     assert "smallint" in dict(df.select(C.split_tokens(F.col("tokens"), common).alias("s")).dtypes)["s"]
+
+
+def test_frequent_tokens_of_all_posts_take_two_bytes(spark):
+    five = [7 + k * 2**16 for k in range(5)]  # one slot
+    df = spark.createDataFrame([(i, five[: 6 - i]) for i in range(1, 6)] + [(6, []), (7, None)], "id int, tokens array<bigint>")
+    pages = C.token_pages(F.col("tokens"), df)
+    assert [page[7] for page in pages] == five[:4]
+    got = {r.id: r.s for r in df.select("id", C.split_tokens(F.col("tokens"), *pages).alias("s")).collect()}
+    codes = lambda r: [page[c + C.COMMON_TOKENS // 2] for page, name in zip(pages, C.page_names(len(pages))) for c in r[name]]
+    assert all(codes(got[i]) + got[i].rare == five[: 6 - i] for i in range(1, 6)) and got[1].rare == five[4:]
+    assert got[6].rare == [] and got[7].rare is None and got[7].common_4 is None
+    posts = [(i, 1, i, i, i == 1, None, "root words" if i == 1 else f"reaction words number{i}") for i in range(1, 9)]
+    frame = frames(spark, posts)[0]
+    read = C._with_root_texts(frame, C.root_posts(frame))
+    assert read.where("in_roots").count() == 1 and read.where("sampled").count() == 8
+    ids = read.where("sampled").selectExpr("explode(root_tokens) AS t").distinct().collect()
+    found = C.token_pages(F.col("root_tokens"), read.where("sampled"))
+    assert len(ids) == 10 and all(any(page[t % C.COMMON_TOKENS] == t for page in found) for (t,) in ids)
